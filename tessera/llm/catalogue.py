@@ -5,11 +5,35 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontam
-from tessera.llm.common import table
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, decontam, quality, toxicity
+from tessera.llm.common import fold_bucket, table
 from tessera.llm.oracles import ORACLES
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return judged(toxicity.score(docs, net), 3, 1, 0.7)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
+    return judged(quality.score(docs, model), 5, 0, 0.3)
+
+
+def judged(scored: DataFrame, modulus: int, held: int, threshold: float) -> DataFrame:
+    """The contract's columns of a classifier."""
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold_bucket("doc_id", modulus) == held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -20,7 +44,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.scan(docs, table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op7_decontamination": op7_decontamination}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op4_bpe": op4_bpe,
+    "op6_quality": op6_quality,
+    "op7_decontamination": op7_decontamination,
+}
 
 
 def queries():

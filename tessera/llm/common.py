@@ -46,6 +46,18 @@ def binaries(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def portions(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Consecutive texts, about ``most`` bytes at a time."""
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and size < most:
+            size += len(texts[upto])
+            upto += 1
+        yield texts[at:upto]
+        at = upto
+
+
 def gathered(schema: pa.Schema, rows: Iterable[tuple[tuple, int]], most: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches from (row, its size in bytes), each of about ``most`` bytes."""
     held: list[tuple] = []
