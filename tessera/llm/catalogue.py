@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, quality, toxicity
+from tessera.llm import bpe, chat, decontam, quality, toxicity, warc
 from tessera.llm.common import fold_bucket, table
 from tessera.llm.oracles import ORACLES
 
@@ -18,6 +17,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(toxicity.score(docs, net), 3, 1, 0.7)
 
 
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(chat.rotate(table(spark, sf_dir, "conversations")))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
@@ -46,9 +53,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_perspectives": op2_perspectives,
     "op4_bpe": op4_bpe,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
+    "op8_warc": op8_warc,
 }
 
 

@@ -33,3 +33,44 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
        coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM doc d LEFT JOIN cover c USING (uid) LEFT JOIN who h USING (uid)
 """
+
+ORACLES["op2_perspectives"] = r"""
+WITH clean AS (
+  SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS section, coalesce(turn, 0) AS turn,
+         coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations),
+who AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM clean WHERE role <> 'system'),
+line AS (
+  SELECT conv_id, perspective, section, turn, role, text,
+         CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+              ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
+         text || '<|end|>' || chr(10) AS body, CASE WHEN role = perspective THEN 1 ELSE 0 END AS mask
+  FROM clean JOIN who ON conv_id IS NOT DISTINCT FROM c),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER w, 0) AS before
+  FROM line
+  WINDOW w AS (PARTITION BY conv_id, perspective, section ORDER BY turn, role, text
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, perspective, section, count(*) AS n_turns,
+       string_agg(head || body, '' ORDER BY turn, role, text) AS rendered,
+       string_agg(CAST(mask AS VARCHAR), ',' ORDER BY turn, role, text) AS masks,
+       coalesce(string_agg(CASE WHEN mask = 1 THEN CAST(CAST(before + length(head) AS BIGINT) AS VARCHAR) || ':' ||
+                CAST(CAST(before + length(head) + length(body) - 1 AS BIGINT) AS VARCHAR) END, ','
+                ORDER BY turn, role, text), '') AS mask_spans
+FROM placed GROUP BY conv_id, perspective, section
+"""
+
+ORACLES["op8_warc"] = r"""
+WITH page AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         list_reduce(list_transform(range(8), lambda g: list_reduce(list_transform(range(4), lambda k:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + CAST((CAST('0x' || substr(sha1(encode(coalesce(html, ''))), 1 + g * 5, 5) AS BIGINT) >> (15 - 5 * k)) & 31 AS INTEGER), 1)),
+           lambda a, b: a || b)), lambda a, b: a || b) AS payload_digest
+  FROM pages),
+best AS (SELECT payload_digest, max(page_id) AS original FROM page GROUP BY payload_digest)
+SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN p.page_id IS NOT DISTINCT FROM b.original OR b.original IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id IS DISTINCT FROM b.original THEN b.original END AS refers_to
+FROM page p JOIN best b USING (payload_digest)
+"""
