@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontam, quality, toxicity, warc
+from tessera.llm import bpe, chat, decontam, quality, secrets, toxicity, warc
 from tessera.llm.common import fold_bucket, table
 from tessera.llm.oracles import ORACLES
 
@@ -25,6 +25,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(warc.round_trip(table(spark, sf_dir, "pages")))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.report(secrets.scan(docs, secrets.train(secrets.samples(docs))))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
@@ -58,6 +63,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
+    "op10_secrets": op10_secrets,
 }
 
 
