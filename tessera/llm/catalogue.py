@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontam, quality, secrets, toxicity, warc
+from tessera.llm import ann, bpe, chat, decontam, quality, secrets, toxicity, warc
 from tessera.llm.common import fold_bucket, table
 from tessera.llm.oracles import ORACLES
 
@@ -30,6 +30,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(docs, secrets.train(secrets.samples(docs))))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_perspectives": op2_perspectives,
     "op4_bpe": op4_bpe,
+    "op5_neighbours": op5_neighbours,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
