@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, chat, decontam, quality, secrets, toxicity, warc
+from tessera.llm import ann, bpe, chat, decontam, jaccard, quality, secrets, toxicity, warc
 from tessera.llm.common import fold_bucket, table
 from tessera.llm.oracles import ORACLES
 
@@ -34,6 +34,10 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
@@ -68,6 +72,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
+    "op9_jaccard": op9_jaccard,
     "op10_secrets": op10_secrets,
 }
 

@@ -74,3 +74,23 @@ SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_di
        CASE WHEN p.page_id IS DISTINCT FROM b.original THEN b.original END AS refers_to
 FROM page p JOIN best b USING (payload_digest)
 """
+
+ORACLES["op9_jaccard"] = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS uid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+gram AS (
+  SELECT DISTINCT uid, array_to_string(w[k : k + 3], ' ') AS g
+  FROM (SELECT uid, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM doc WHERE len(w) > 0)),
+size AS (SELECT uid, count(*) AS n FROM gram GROUP BY uid),
+few AS (SELECT g FROM gram GROUP BY g HAVING count(*) > 1),
+pairs AS (SELECT a.uid AS x, b.uid AS y, count(*) AS i FROM gram a JOIN few USING (g) JOIN gram b USING (g) WHERE a.uid <> b.uid GROUP BY ALL),
+link AS (SELECT x, y FROM pairs JOIN size s ON s.uid = x JOIN size t ON t.uid = y WHERE 100 * i >= 85 * (s.n + t.n - i)),
+reach AS (SELECT uid AS x, uid AS y FROM size UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+low AS (SELECT x AS uid, min(d.doc_id) AS component_id FROM reach JOIN doc d ON d.uid = y GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles,
+       CASE WHEN s.n IS NULL THEN d.doc_id ELSE l.component_id END AS component_id
+FROM doc d LEFT JOIN size s USING (uid) LEFT JOIN low l USING (uid)
+"""
