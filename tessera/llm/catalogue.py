@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, chat, decontam, jaccard, quality, secrets, toxicity, warc
+from tessera.llm import ann, bpe, chat, decontam, jaccard, quality, secrets, suffixes, toxicity, warc
 from tessera.llm.common import fold_bucket, table
 from tessera.llm.oracles import ORACLES
 
@@ -38,6 +38,11 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.report(suffixes.cleaned(suffixes.removed_spans(docs)))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
@@ -67,6 +72,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_perspectives": op2_perspectives,
+    "op3_suffixes": op3_suffixes,
     "op4_bpe": op4_bpe,
     "op5_neighbours": op5_neighbours,
     "op6_quality": op6_quality,
