@@ -109,9 +109,14 @@ class Network:
     def vectors(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
         """One input vector a word."""
         rows, who, weight = features(words)
-        out = np.zeros((len(words), INPUT), np.float32)
-        np.add.at(out, who, self.p["E"][rows] * weight[:, None])
-        return out, (rows, who, weight)
+        order = np.argsort(who, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(words)))[:-1]])
+        terms = self.p["E"][rows[order]] * weight[order, None]
+        return np.add.reduceat(terms, starts, axis=0), (rows, who, weight)
+
+    def gates_of(self, words: list[bytes]) -> np.ndarray:
+        """Gates of many words, some thousands at a time."""
+        return np.concatenate([self.gates(self.vectors(words[k : k + 4096])[0]) for k in range(0, len(words), 4096)])
 
     def gates(self, vectors: np.ndarray) -> np.ndarray:
         """What each word adds to the gates of both directions: words x 2 x 3 HIDDEN."""
@@ -207,7 +212,7 @@ def train(texts: list[tuple[bytes, int]], epochs: int = 5, rate: float = 0.01, s
     firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     epochs = max(epochs, -(-LEAST_STEPS * 64 // (2 * len(docs))))
     for epoch in range(epochs):
-        gates = net.gates(net.vectors(vocabulary)[0])
+        gates = net.gates_of(vocabulary)
         logits = np.concatenate([net.forward(gates, stacked[k : k + BATCH])[0] for k in range(0, len(stacked), BATCH)])
         order = np.lexsort((-logits, place))
         best = order[firsts]
@@ -299,7 +304,7 @@ class Scorer:
         need = self.filled + len(new)
         if need > len(self.gates):
             self.gates = np.concatenate([self.gates, np.zeros((2 * need - len(self.gates), 2, 3 * HIDDEN), np.float32)])
-        self.gates[self.filled : need] = self.net.gates(self.net.vectors(new)[0])
+        self.gates[self.filled : need] = self.net.gates_of(new)
         self.filled = need
 
 
