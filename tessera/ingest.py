@@ -6,13 +6,14 @@ import logging
 import math
 import time
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import Settings
 from tessera.functions import headers
 from tessera.functions import text as X
 from tessera.operators import chunking, embed, graph
+from tessera.operators.ordering import numbered
 from tessera.sources import files, symbols
 from tessera.store import Store, chunk_id
 
@@ -61,9 +62,8 @@ class Pipeline:
             report = {"status": "ok", "files_processed": 0, "chunks_created": 0, "scip_enriched": 0, "errors": [], "batches": [], "batches_completed": 0, "batches_failed": 0}
             indexes = files.symbol_indexes(self.spark, root)
             batches = math.ceil(total / size)
-            # bounds of each batch in the sorted listing: one path a batch reaches the driver
-            numbered = listing.select("file_path", F.lower("file_path").alias("p")).repartitionByRange("p").sortWithinPartitions("p", "file_path")
-            cuts = [] if batches < 2 else self._cuts(numbered, size)
+            # bounds of each batch in the sorted listing
+            cuts = [] if batches < 2 else self._cuts(listing.select("file_path", F.lower("file_path").alias("p")), size)
             for k in range(batches):
                 try:
                     found = files.scan(self.spark, root, self.settings, include, exclude)
@@ -99,19 +99,9 @@ class Pipeline:
 
     @staticmethod
     def _cuts(listing: DataFrame, size: int) -> list[tuple[str, str]]:
-        """The last (lower path, path) of each full batch, from counts a partition and positions within them."""
-        placed = listing.withColumn("part", F.spark_partition_id()).withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("p", "file_path")))
-        placed = placed.persist()
-        try:
-            before, total = {}, 0
-            for r in placed.groupBy("part").agg(F.count("*").alias("c")).orderBy("part").collect():
-                before[r.part] = total
-                total += r.c
-            offset = F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)])
-            ends = placed.withColumn("at", F.col("n") + F.element_at(offset, F.col("part"))).where(F.col("at") % size == 0)
-            return [(r.p, r.file_path) for r in ends.orderBy("at").select("p", "file_path").collect()]
-        finally:
-            placed.unpersist()
+        """The last (lower path, path) of each full batch: one row a batch reaches the driver."""
+        ends = numbered(listing, ["p", "file_path"], "at").where(F.col("at") % size == 0)
+        return [(r.p, r.file_path) for r in ends.orderBy("at").select("p", "file_path").collect()]
 
     @staticmethod
     def _between(cuts: list[tuple[str, str]], k: int):
