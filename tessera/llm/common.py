@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -30,8 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Shuffle files of earlier tables are of no use by then; a collection lets Spark remove them.
+    """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

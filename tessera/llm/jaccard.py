@@ -8,13 +8,13 @@ all documents (of fixed size, so its broadcast is bounded), and then goes by a h
 by other hashes. Candidates come from posting lists of the first order; a pair is verified only if
 its prefixes meet under the other orders too.
 
-Work is on distinct sets, so copies cost nothing. What is asked for is which sets are connected, so
-lists need not give all their pairs: first each set is paired with one pivot of its lists; then,
-round by round, pairs of one list that are not connected yet are compared, inside the list's task,
-by parity sketches, whose differing bits never exceed the sets' difference, and the nearest few for
-each set and component are verified. It ends when no list holds an unverified pair of two
-components that the sketches allow, so no link is lost. Long lists are dealt into blocks, and pairs
-of blocks, of bounded size.
+Work is on distinct sets, so copies cost nothing. Candidates are first compared by size and by
+parity sketches, whose differing bits never exceed the sets' difference. What is asked for is which
+sets are connected, so not every pair need be verified: round by round, the nearest few candidates
+of each set that are not connected yet are, until no unverified pair of two components is left, so
+no link is lost. Lists of at most ``SHORT`` sets give their candidates at once. In longer ones each
+set is first paired with one pivot, and only pairs that are not connected yet are then compared,
+inside the task of the list, which is dealt into blocks, and pairs of blocks, of bounded size.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ from tessera.llm.common import binaries, portions, written
 #: Counters of the frequency sketch; 4 bytes each.
 COUNTERS = 1 << 22
 CHUNK = 1 << 16
-#: Members of a list that one task compares.
+#: Longest list whose pairs are compared at once; longer ones go through pivots and blocks.
+SHORT = 96
+#: Members of a long list that one task compares.
 BLOCK = 2048
 #: Nearest pairs verified in a round for each set and foreign component.
 NEAREST = 4
@@ -154,7 +156,8 @@ def frequencies(table: DataFrame) -> np.ndarray:
         return pa.table({"chunk": group["chunk"].slice(0, 1), "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     out = np.zeros(COUNTERS, np.uint32)
-    for r in table.select("tokens").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
+    tasks = 2 * table.sparkSession.sparkContext.defaultParallelism  # each sends all counters
+    for r in table.select("tokens").coalesce(tasks).mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
         out[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.counts, np.uint32)
     return out
 
@@ -338,6 +341,68 @@ def open_pairs(lists: DataFrame, label: DataFrame, table: DataFrame, percent: in
     return found.groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
+def short_pairs(lists: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, d) of lists of at most ``SHORT`` sets whose sizes and sketches allow a link; d bits differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            if rest is not None:
+                now = pa.concat_tables([rest, now]).combine_chunks()
+            token = now["token"].to_numpy()
+            cut = np.flatnonzero(token != token[-1])
+            done = cut[-1] + 1 if len(cut) else 0
+            rest = now.slice(done)
+            if done:
+                yield from pairs(now.slice(0, done))
+        if rest is not None:
+            yield from pairs(rest)
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, n, sid = rows["token"].to_numpy(), rows["n"].to_numpy().astype(np.int64), rows["sid"].combine_chunks()
+        for d in range(1, SHORT):
+            i = np.flatnonzero(token[d:] == token[:-d]) if d < len(token) else np.zeros(0, np.int64)
+            if not len(i):
+                break
+            low, high = np.minimum(n[i], n[i + d]), np.maximum(n[i], n[i + d])
+            i = i[low * 100 >= high * percent]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([sid.take(pa.array(i)), sid.take(pa.array(i + d))], names=["a", "b"])
+
+    # sets come in order within a list, so a < b
+    dealt = lists.select("token", "sid", "n").repartition("token").sortWithinPartitions("token", "sid")
+    found = written(dealt.mapInArrow(run, "a binary, b binary").distinct(), "jaccard-candidates")
+    parity = written(wanted(table, found.select(F.explode(F.array("a", "b")).alias("sid")), "n", "parity"), "jaccard-parity")
+    both = found.join(parity.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("parity").alias("x")), "a").join(
+        parity.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y")), "b"
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("n").to_numpy().astype(np.int64) + batch.column("m").to_numpy()
+            most = total - 2 * -(-percent * total // (100 + percent))
+            bits = np.empty(len(total), np.int32)
+            for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                if len(x) == len(y):
+                    bits[k] = (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+                else:
+                    size = min(len(x), len(y))
+                    u, v = (folded(np.frombuffer(z, np.uint8), size) for z in (x, y))
+                    bits[k] = int(np.bitwise_count(u ^ v).sum())
+            keep = pa.array(bits <= most)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(bits).filter(keep)], names=["a", "b", "d"])
+
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(compare, "a binary, b binary, d int")
+
+
+def crossing(near: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs whose sets are in different components by now."""
+    side = lambda k: label.select(F.col("sid").alias(k), F.col("comp").alias("c_" + k))
+    both = near.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(~F.coalesce("c_a", "a").eqNullSafe(F.coalesce("c_b", "b"))).select("a", "b", "d")
+
+
 def pivots(lists: DataFrame, percent: int) -> DataFrame:
     """One pair (a, b) for each set: with the first set of its list that it shares most lists with."""
     head = lists.groupBy("token", "block").agg(F.min(F.struct("sid", "n")).alias("p"))
@@ -357,18 +422,31 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     """
     table = written(sets(docs, key, text, width), "jaccard-table")
     lists = written(postings(table, frequencies(table), percent), "jaccard-postings")
-    done = written(verified(table, written(pivots(lists, percent), "jaccard-pairs"), percent), "jaccard-verified")
+    long_tokens = lists.groupBy("token").agg(F.count("*").alias("size"), F.max("blocks").alias("most")).where((F.col("size") > SHORT) | (F.col("most") > 1))
+    long_tokens = written(long_tokens.select("token"), "jaccard-long")
+    crowded = not long_tokens.isEmpty()
+    near = written(short_pairs(lists.join(long_tokens, "token", "left_anti") if crowded else lists, table, percent), "jaccard-near")
+    done = table.sparkSession.createDataFrame([], "a binary, b binary, linked boolean")
+    label = table.sparkSession.createDataFrame([], "sid binary, comp binary")
+    first = True
+    if crowded:
+        lists = written(lists.join(long_tokens, "token", "left_semi"), "jaccard-long-lists")
     while True:
-        label = components(done.where("linked").select("a", "b"))
-        found = open_pairs(lists, label, table, percent)
+        found = crossing(near, label)
+        if crowded:
+            pairs = pivots(lists, percent).withColumn("d", F.lit(0)) if first else open_pairs(lists, label, table, percent)
+            found = found.unionByName(pairs.select("a", "b", "d")).groupBy("a", "b").agg(F.min("d").alias("d"))
         fresh = written(found.join(done.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-open-pairs")
         if fresh.isEmpty():
-            break
+            if not first or not crowded:
+                break
         sides = fresh.select("a", "b", "d", F.explode(F.array("a", "b")).alias("sid"))
         nearest = Window.partitionBy("sid").orderBy("d", "a", "b")
         chosen = sides.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= NEAREST).select("a", "b").distinct()
         more = verified(table, written(chosen, "jaccard-pairs"), percent)
         done = written(done.unionByName(more), "jaccard-verified")
+        label = components(done.where("linked").select("a", "b"))
+        first = False
     own = table.where("sid is not null").groupBy("sid").agg(F.min("key").alias("least"))
     joined = written(own.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-own")
     roots = written(joined.groupBy("comp").agg(F.min("least").alias("root")), "jaccard-roots")

@@ -32,9 +32,10 @@ def brute(rows, width, percent):
     return sorted((i, len(sets[k]), best[find(k)] if sets[k] else i) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [2048, 5])
-def test_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,short", [(2048, 96), (5, 4)])
+def test_against_brute_force(spark, monkeypatch, block, short):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SHORT", short)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 3)))
     rows = []
