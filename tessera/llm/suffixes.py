@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import binaries, written
 
 LENGTH, BLOCK = 200, 128
-BUFFER = 4 << 20
+#: Bytes hashed at a time, so that the arrays stay in the processor's cache.
+BUFFER = 256 << 10
 BROADCAST_BYTES = 48 << 20
 #: Symbols that one suffix array holds, unless a single anchor has more.
 TEXT_SYMBOLS = 1 << 16
@@ -163,8 +164,8 @@ class Segments:
         self.hash = self.low = self.high = np.zeros(0, np.uint64)
         if n < length:
             return
-        sums = [np.concatenate([[np.uint64(0)], np.cumsum(v[raw] * p[:n], dtype=np.uint64)]) for v, p, _ in (t for t in tables(max(n, BUFFER * 2)))]
-        inverse = [t[2] for t in tables(max(n, BUFFER * 2))]
+        sums = [np.concatenate([[np.uint64(0)], np.cumsum(v[raw] * p[:n], dtype=np.uint64)]) for v, p, _ in (t for t in tables(max(n, 2 * (BUFFER + length))))]
+        inverse = [t[2] for t in tables(max(n, 2 * (BUFFER + length)))]
         m = n - block + 1
         kgram = mixed((sums[0][block:] - sums[0][:m]) * inverse[0][:m])
         keys = kgram & np.uint64(0xFFFFFFFFFF000000) | np.arange(m, dtype=np.uint64)
