@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import logging
 import math
 import re
 import urllib.request
+import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -41,8 +41,8 @@ class HashEmbedder:
         out = [0.0] * self.dimensions
         words = re.findall(r"\w+", text.lower())
         for gram in [*words, *map(" ".join, zip(words, words[1:]))]:
-            h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
-            out[h % self.dimensions] += 1.0 if h >> 63 else -1.0
+            h = zlib.crc32(gram.encode())
+            out[h % self.dimensions] += 1.0 if h >> 31 else -1.0
         norm = math.sqrt(sum(x * x for x in out))
         return [x / norm for x in out] if norm else out
 

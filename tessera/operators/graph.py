@@ -74,29 +74,43 @@ def lookup(chunks: DataFrame, symbols: DataFrame, key: str = "id", one_based: bo
 
     Chunks have ``key``, file_path, start_line and end_line; symbols index_ord, ord, relative_path,
     symbol and start (from 0; chunk lines count from 1 and are brought to it unless ``one_based`` is
-    False). Paths match without case by their last segments: a file's path ends with the symbol's
-    path or, unless ``strict``, the other way round by file name. The join's key is the file name,
-    so it is an equi-join; the first index with a match wins.
+    False). Paths match without case: a file's path ends with the symbol's path, by whole segments,
+    or, unless ``strict``, either ends with the other's file name. The first index with a match wins.
+
+    Chunks and symbols of one path are merged by line, and two running windows give each chunk the
+    symbols next to it, so the work is linear in a file, not chunks times symbols.
     """
     shift = 1 if one_based else 0
-    c = chunks.withColumns({"__path": X.comparable_path(F.col("file_path")), "__line": F.col("start_line") - shift, "__end": F.col("end_line") - shift})
-    s = symbols.where("start is not null").select(
-        "index_ord", "ord", "symbol", "start", X.comparable_path(F.col("relative_path")).alias("__rel"), *[x for x in ("display_name", "kind", "documentation", "enclosing_symbol", "doc_ord") if x in symbols.columns]
-    )
+    extra = [x for x in ("display_name", "kind", "documentation", "enclosing_symbol") if x in symbols.columns]
+    doc_ord = F.col("doc_ord") if "doc_ord" in symbols.columns else F.lit(0)
+    fields = ["symbol", "index_ord", "ord", *extra]
+    s = symbols.where("start is not null").select(X.comparable_path(F.col("relative_path")).alias("__rel"), "start", doc_ord.alias("__doc"), *fields)
+    c = chunks.select(key, X.comparable_path(F.col("file_path")).alias("__path"), (F.col("start_line") - shift).alias("__line"), (F.col("end_line") - shift).alias("__end"), (F.col("end_line") > 0).alias("__ends"))
+    paths = s.select("index_ord", "__rel").distinct()
     if strict:
-        match = [F.substring_index(c["__path"], "/", -1) == F.substring_index(s["__rel"], "/", -1), F.concat(F.lit("/"), c["__path"]).endswith(F.concat(F.lit("/"), s["__rel"]))]
+        parts = F.filter(F.split("__path", "/"), lambda x: x != "")
+        tails = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda k: F.array_join(F.slice(parts, k, F.lit(1 << 20)), "/"))
+        placed = c.withColumn("__rel", F.explode(tails)).join(paths, "__rel")
     else:
         tail = 3
-        near = lambda p: F.right(F.substring_index(p, "/", -1), F.lit(tail))
-        match = [near(c["__path"]) == near(s["__rel"]), c["__path"].endswith(s["__rel"]) | s["__rel"].endswith(F.substring_index(c["__path"], "/", -1))]
-    pairs = c.join(s, match[0] & match[1])
-    inside = (F.col("end_line") > 0) & F.col("start").between(F.col("__line"), F.col("__end"))
-    way = F.when(inside, 1).when(F.col("start") <= F.col("__line"), 2).otherwise(3)
-    distance = F.when((way == 2), -F.col("start")).otherwise(F.col("start"))
-    order = Window.partitionBy(key).orderBy("index_ord", way, distance, *([F.col("doc_ord")] if "doc_ord" in s.columns else []), "ord")
-    best = pairs.withColumn("__k", F.row_number().over(order)).where("__k = 1")
-    columns = [x for x in s.columns if x != "__rel"]
-    return chunks.join(best.select(key, *columns), key, "left")
+        name = lambda p: F.substring_index(p, "/", -1)
+        near = F.right(name(F.col("__path")), F.lit(tail)) == F.right(name(F.col("__rel")), F.lit(tail))
+        placed = c.join(paths, near & (F.col("__path").endswith(F.col("__rel")) | F.col("__rel").endswith(name(F.col("__path")))))
+    rest = F.struct(*[F.col(x) for x in fields])
+    here = s.select("index_ord", "__rel", F.col("start").cast("int").alias("__at"), F.struct("start", F.col("__doc").alias("d"), F.col("ord").alias("o"), rest.alias("r")).alias("__next"), F.struct("start", (-F.col("__doc")).alias("d"), (-F.col("ord")).alias("o"), rest.alias("r")).alias("__last"))
+    both = here.unionByName(placed.select("index_ord", "__rel", F.col("__line").cast("int").alias("__at"), key, "__line", "__end", "__ends"), allowMissingColumns=True)
+    by = Window.partitionBy("index_ord", "__rel")
+    upto = (Window.unboundedPreceding, 0)
+    # documentation and the like are carried along but never decide, as ord differs
+    seen = both.withColumns({"__next": F.min_by("__next", F.when(F.col("__next").isNotNull(), F.struct("__next.start", "__next.d", "__next.o"))).over(by.orderBy(F.desc("__at")).rangeBetween(*upto)), "__last": F.max_by("__last", F.when(F.col("__last").isNotNull(), F.struct("__last.start", "__last.d", "__last.o"))).over(by.orderBy("__at").rangeBetween(*upto))})
+    asked = seen.where("__line is not null")
+    inside = F.col("__ends") & (F.col("__next.start") <= F.col("__end"))
+    way = F.when(inside, 1).when(F.col("__last").isNotNull(), 2).otherwise(3)
+    last = F.struct(F.col("__last.start").alias("start"), (-F.col("__last.d")).alias("d"), (-F.col("__last.o")).alias("o"), F.col("__last.r").alias("r"))
+    found = asked.withColumns({"__way": way, "__hit": F.when(way == 2, last).otherwise(F.col("__next"))}).where("__hit is not null")
+    distance = F.when(F.col("__way") == 2, -F.col("__hit.start")).otherwise(F.col("__hit.start"))
+    best = found.groupBy(key).agg(F.min_by("__hit.r", F.struct("index_ord", "__way", distance, "__hit.d", "__hit.o")).alias("__r"))
+    return chunks.join(best.select(key, "__r.*"), key, "left")
 
 
 def enriched(chunks: DataFrame, symbols: DataFrame, occurrences: DataFrame, legacy_kinds: bool = False, one_based: bool = True, strict: bool = True) -> DataFrame:
