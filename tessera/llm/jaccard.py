@@ -11,10 +11,11 @@ its prefixes meet under the other orders too.
 Work is on distinct sets, so copies cost nothing. Candidates are first compared by size and by
 parity sketches, whose differing bits never exceed the sets' difference. What is asked for is which
 sets are connected, so not every pair need be verified: round by round, the nearest few candidates
-of each set that are not connected yet are, until no unverified pair of two components is left, so
-no link is lost. Lists of at most ``SHORT`` sets give their candidates at once. In longer ones each
-set is first paired with one pivot, and only pairs that are not connected yet are then compared,
-inside the task of the list, which is dealt into blocks, and pairs of blocks, of bounded size.
+of each set that are not connected yet are, and more each time, until no unverified pair of two
+components is left, so no link is lost. Lists of at most ``SHORT`` sets give their candidates at
+once. In longer ones each set is first paired with one pivot, and only pairs that are not connected
+yet are then compared, inside the task of the list, which is dealt into blocks, and pairs of blocks,
+of bounded size. There each set goes on behind the pairs that it has given in earlier rounds.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ CHUNK = 1 << 16
 SHORT = 96
 #: Members of a long list that one task compares.
 BLOCK = 2048
-#: Nearest pairs verified in a round for each set and foreign component.
+#: Nearest pairs given and verified for each set in the first round; each further round takes twice as many, up to GIVEN.
 NEAREST = 4
+GIVEN = 256
 BROADCAST_BYTES = 48 << 20
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xA0761D6478BD642F)]
@@ -286,11 +288,17 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def open_pairs(lists: DataFrame, label: DataFrame, table: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, d) of a list, of two components, whose sketches differ in d bits and so allow a link.
+TILE = "token long, tile struct<i:int,j:int>"
+#: How far a set has come in a task: distance and partner of its last pair given, and how many it gave last.
+REACHED = f"{TILE}, sid binary, d int, other binary, times long"
 
-    Only lists with two components or more are looked at. Of each set and foreign component the
-    ``NEAREST`` pairs of a task are given.
+
+def open_pairs(lists: DataFrame, label: DataFrame, table: DataFrame, percent: int, reached: DataFrame, most_given: int) -> DataFrame:
+    """Pairs (token, tile, sid, other, d) of a list, of two components, whose sketches differ in d bits and so allow a link.
+
+    Only lists with two components or more are looked at. In a task each set gives its next
+    ``most_given`` pairs by distance and partner, behind the last one in ``reached``. Which of two
+    sets gives their pair, and in what order, is the same in every round.
     """
     known = lists.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     known = written(known, "jaccard-lists")
@@ -303,15 +311,22 @@ def open_pairs(lists: DataFrame, label: DataFrame, table: DataFrame, percent: in
         "token", F.explode(F.transform(other, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))).alias("tile"), "block", "sid", "n", "comp", "parity"
     )
 
-    def compare(group: pa.Table) -> pa.Table:
+    def compare(group: pa.Table, before: pa.Table) -> pa.Table:
+        group = group.sort_by("sid")
         sid = np.array(group["sid"].to_pylist(), object)
         comp = np.unique(np.array(group["comp"].to_pylist(), "S16"), return_inverse=True)[1]
         n, block = group["n"].to_numpy().astype(np.int64), group["block"].to_numpy()
         raw = [np.frombuffer(x, np.uint8) for x in group["parity"].to_pylist()]
-        diagonal = group["tile"][0].as_py()
-        across = diagonal["i"] != diagonal["j"]
-        out: list[tuple[int, int, int]] = []
-        sizes = np.array([len(r) for r in raw])
+        givers, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(group):
+            place = {x: k for k, x in enumerate(sid)}
+            # pairs of a set are numbered by distance, then partner
+            last = np.full(len(sid), -1, np.int64)
+            for x, d, y in zip(before["sid"].to_pylist(), before["d"].to_pylist(), before["other"].to_pylist(), strict=True):
+                last[place[x]] = d * len(sid) + place[y]
+            diagonal = group["tile"][0].as_py()
+            across = diagonal["i"] != diagonal["j"]
+        sizes = np.array([len(r) for r in raw], np.int64)
         for size in np.unique(sizes):
             # a set with a shorter sketch cannot meet one of more than twice the length
             here = np.flatnonzero((sizes >= size) & (sizes <= 2 * size))
@@ -325,20 +340,28 @@ def open_pairs(lists: DataFrame, label: DataFrame, table: DataFrame, percent: in
                     continue
                 total = n[here[b]] + n[here[a]]
                 most = total - 2 * -(-percent * total // (100 + percent))
-                d = np.bitwise_count(words[b] ^ words[a]).sum(axis=1)
-                keep = d <= most
-                b, d = b[keep], d[keep]
-                order = np.lexsort((d, comp[here[b]]))
-                start = np.concatenate([[True], np.diff(comp[here[b[order]]]) != 0]) if len(b) else np.zeros(0, bool)
-                first = np.maximum.accumulate(np.where(start, np.arange(len(b)), 0)) if len(b) else start
-                order = order[np.arange(len(b)) - first < NEAREST] if len(b) else order
-                out += [(here[a], here[x], int(y)) for x, y in zip(b[order], d[order], strict=True)]
-        pair = [(min(sid[x], sid[y]), max(sid[x], sid[y]), d) for x, y, d in out]
-        columns = list(zip(*pair, strict=True)) if pair else [[], [], []]
-        return pa.table({"a": pa.array(columns[0], pa.binary()), "b": pa.array(columns[1], pa.binary()), "d": pa.array(columns[2], pa.int32())})
-
-    found = dealt.groupBy("token", "tile").applyInArrow(compare, "a binary, b binary, d int")
-    return found.groupBy("a", "b").agg(F.min("d").alias("d"))
+                d = np.bitwise_count(words[b] ^ words[a]).sum(axis=1).astype(np.int64)
+                number = d * len(sid) + here[b]
+                number = number[(d <= most) & (number > last[here[a]])]
+                if len(number) > most_given:
+                    number = np.partition(number, most_given - 1)[:most_given]
+                givers.append(np.full(len(number), here[a]))
+                numbers.append(number)
+        giver, number = np.concatenate(givers), np.concatenate(numbers)
+        names = pa.array(list(sid), pa.binary())
+        key = group if len(group) else before
+        return pa.table(
+            {
+                "token": pa.array([key["token"][0].as_py()] * len(giver), pa.int64()),
+                "tile": pa.array([key["tile"][0].as_py()] * len(giver), pa.struct([("i", pa.int32()), ("j", pa.int32())])),
+                "sid": names.take(pa.array(giver)),
+                "other": names.take(pa.array(number % max(len(sid), 1))),
+                "d": pa.array(number // max(len(sid), 1), pa.int32()),
+            }
+        )
+
+    by = ("token", "tile")
+    return dealt.groupBy(*by).cogroup(reached.groupBy(*by)).applyInArrow(compare, f"{TILE}, sid binary, other binary, d int")
 
 
 def short_pairs(lists: DataFrame, table: DataFrame, percent: int) -> DataFrame:
@@ -426,27 +449,37 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     long_tokens = written(long_tokens.select("token"), "jaccard-long")
     crowded = not long_tokens.isEmpty()
     near = written(short_pairs(lists.join(long_tokens, "token", "left_anti") if crowded else lists, table, percent), "jaccard-near")
-    done = table.sparkSession.createDataFrame([], "a binary, b binary, linked boolean")
-    label = table.sparkSession.createDataFrame([], "sid binary, comp binary")
-    first = True
+    spark = table.sparkSession
+    done = spark.createDataFrame([], "a binary, b binary, linked boolean")
+    label = spark.createDataFrame([], "sid binary, comp binary")
+    reached = spark.createDataFrame([], REACHED)
     if crowded:
         lists = written(lists.join(long_tokens, "token", "left_semi"), "jaccard-long-lists")
+        near = near.unionByName(pivots(lists, percent).withColumn("d", F.lit(0)))
+    to_give = to_verify = NEAREST
     while True:
-        found = crossing(near, label)
-        if crowded:
-            pairs = pivots(lists, percent).withColumn("d", F.lit(0)) if first else open_pairs(lists, label, table, percent)
-            found = found.unionByName(pairs.select("a", "b", "d")).groupBy("a", "b").agg(F.min("d").alias("d"))
-        fresh = written(found.join(done.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-open-pairs")
-        if fresh.isEmpty():
-            if not first or not crowded:
+        # pairs that are connected by now or verified need not be looked at again
+        near = written(crossing(near, label).groupBy("a", "b").agg(F.min("d").alias("d")).join(done.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-near")
+        if near.isEmpty():
+            if not crowded:
                 break
-        sides = fresh.select("a", "b", "d", F.explode(F.array("a", "b")).alias("sid"))
+            given = written(open_pairs(lists, label, table, percent, reached, to_give), "jaccard-given")
+            now = given.groupBy("token", "tile", "sid").agg(F.max(F.struct("d", "other")).alias("last"), F.count("*").alias("times"))
+            now = written(now.select("token", "tile", "sid", "last.d", "last.other", "times"), "jaccard-reached")
+            # a set that gave fewer than it may has no more, as components only grow together
+            crowded = not now.where(F.col("times") >= to_give).isEmpty()
+            moved = now.select("token", "tile", "sid")
+            reached = written(reached.join(moved, ["token", "tile", "sid"], "left_anti").unionByName(now), "jaccard-reached")
+            near = given.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"), "d")
+            to_give = min(2 * to_give, GIVEN)
+            continue
+        sides = near.select("a", "b", "d", F.explode(F.array("a", "b")).alias("sid"))
         nearest = Window.partitionBy("sid").orderBy("d", "a", "b")
-        chosen = sides.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= NEAREST).select("a", "b").distinct()
+        chosen = sides.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= to_verify).select("a", "b").distinct()
+        to_verify = min(2 * to_verify, GIVEN)
         more = verified(table, written(chosen, "jaccard-pairs"), percent)
         done = written(done.unionByName(more), "jaccard-verified")
         label = components(done.where("linked").select("a", "b"))
-        first = False
     own = table.where("sid is not null").groupBy("sid").agg(F.min("key").alias("least"))
     joined = written(own.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-own")
     roots = written(joined.groupBy("comp").agg(F.min("least").alias("root")), "jaccard-roots")

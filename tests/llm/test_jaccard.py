@@ -56,6 +56,37 @@ def test_against_brute_force(spark, monkeypatch, block, short):
     assert got == brute(rows, 3, 80)
 
 
+@pytest.mark.parametrize("weak", [True, False])
+def test_single_links_of_borderline_families(spark, monkeypatch, weak):
+    """Families just below the threshold, joined by one pair; other pairs of theirs come before it."""
+    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    monkeypatch.setattr(jaccard, "SHORT", 4)
+    core = [f"core{k}" for k in range(176)]
+    rows, marked = [], {}
+    for f in range(4):
+        own = core + [f"family{f}w{k}" for k in range(22)]
+        for m in range(30):
+            x = "x" if m < 4 or m == 17 else f"m{m}x"
+            y = "y" if 4 <= m < 8 or m == 17 else f"m{m}y"
+            rows.append(" ".join([*own, f"f{f}{x}", f"f{f}{y}"]))
+            if m == 17:
+                marked[rows[-1]] = 6
+        if f < 2:  # 178 of 222 words with one set of the next family, at most 177 of 223 with the others
+            rows.append(" ".join([*own, f"f{f + 1}x", f"f{f + 1}y"]))
+            marked[rows[-1]] = 1
+    if weak:  # a bound that puts the links last: 3 bits, other pairs of their sets 2 at most
+        sids = {jaccard.Shingler(1).sets([t.encode()])[0].tobytes(): v for t, v in marked.items()}
+        monkeypatch.setattr(jaccard, "sketch", lambda tokens: bytes([sids.get(tokens.tobytes(), 0)]) + bytes(63))
+    random.Random(5).shuffle(rows)
+    rows = list(enumerate(rows))
+    expected = brute(rows, 1, 80)
+    assert len({c for _, _, c in expected}) == 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs, width=1, percent=80).collect())
+    assert got == expected
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join(docs).count() == 0
