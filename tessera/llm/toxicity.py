@@ -34,8 +34,9 @@ INPUT, HIDDEN = 12, 8
 WINDOW, STRIDE = 48, 24
 #: Words that a worker remembers; its memory starts anew beyond it, between groups of texts.
 REMEMBERED = 200_000
-#: Character n-grams come from the first and last so many bytes of a longer word.
-WORD_BYTES = 48
+#: A word of over ``LONGEST`` bytes is read as words of ``PIECE`` bytes that overlap, so that no n-gram is lost.
+LONGEST, PIECE = 96, 48
+OVERLAP = max(SIZES) - 1
 BATCH = 1024
 LEAST_STEPS = 400
 #: From the third epoch on, positives whose best window has a lower logit are taken for mislabelled.
@@ -43,8 +44,15 @@ DOUBT = -2.0
 
 
 def normal(text: bytes) -> list[bytes]:
-    """Words of a text: runs of ASCII letters, digits and non-ASCII bytes, in lower case."""
-    return text.translate(FOLD).split()
+    """Words of a text: runs of ASCII letters, digits and non-ASCII bytes, in lower case; long ones in pieces."""
+    words = text.translate(FOLD).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= LONGEST else pieces(w))]
+
+
+def pieces(word: bytes) -> list[bytes]:
+    return [word[k : k + PIECE] for k in range(0, len(word) - OVERLAP, PIECE - OVERLAP)]
 
 
 # ASCII letters in lower case, digits and non-ASCII bytes stay; the rest parts words.
@@ -55,7 +63,7 @@ FOLD = bytes(
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embedding rows of words, the word of each row, and its weight (1 for the word, 1/n for n-grams)."""
-    cut = [b"<" + (w if len(w) <= 2 * WORD_BYTES else w[:WORD_BYTES] + w[-WORD_BYTES:]) + b">" for w in words]
+    cut = [b"<" + w + b">" for w in words]
     raw = np.frombuffer(b"".join(cut), np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, cut), np.int64, len(cut))
     owner = np.repeat(np.arange(len(cut)), sizes)

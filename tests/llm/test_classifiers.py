@@ -61,6 +61,17 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("score <> 0.5").count() == 0
 
 
+def test_toxicity_reads_long_words_whole():
+    """Every n-gram of a long run of bytes is in a word of bounded size, also in its middle."""
+    rng = random.Random(4)
+    for n in (96, 97, 100, 140, 141, 5000):
+        text = bytes(rng.choice(b"abcdefgh\xe4\xb8\x96") for _ in range(n))
+        words = toxicity.normal(text)
+        assert max(map(len, words)) <= toxicity.LONGEST
+        for size in toxicity.SIZES:
+            assert {text[k : k + size] for k in range(n - size + 1)} == {w[k : k + size] for w in words for k in range(len(w) - size + 1)}
+
+
 def test_toxicity_gradient():
     """Back-propagation against finite differences."""
     net = toxicity.Network(1)
