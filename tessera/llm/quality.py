@@ -32,8 +32,8 @@ DIMENSIONS = 16
 GRAMS = (2, 3, 4)
 #: Words that a worker remembers; its memory starts anew beyond it, between documents.
 REMEMBERED = 200_000
-#: Character n-grams are taken from the first and last so many bytes of a longer word.
-WORD_BYTES = 48
+#: Bytes of words whose character n-grams are taken at once.
+PIECE = 1 << 19
 
 
 class Words:
@@ -62,25 +62,28 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array([zlib.crc32(w, 11) | zlib.crc32(w, 13) << 32 for w in words], np.uint64)
 
 
-def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all words and their n-grams, and the word (by place) that each belongs to."""
-    cut = [b"<" + (w if len(w) <= 2 * WORD_BYTES else w[:WORD_BYTES] + w[-WORD_BYTES:]) + b">" for w in words]
-    raw = np.frombuffer(b"".join(cut), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-    owner = np.repeat(np.arange(len(cut)), sizes)
-    features = [(word_hashes(words) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64) % BUCKETS]
-    owners = [np.arange(len(cut))]
-    for n in GRAMS:
-        if len(raw) < n:
-            continue
-        whole = owner[: len(raw) - n + 1] == owner[n - 1 :]
-        gram = np.zeros(len(raw) - n + 1, np.uint64)
-        for k in range(n):
-            gram = gram << np.uint64(8) | raw[k : len(raw) - n + 1 + k]
-        gram = (gram[whole] + np.uint64(n << 40)) * np.uint64(0xD6E8FEB86659FD93)
-        features.append((gram >> np.uint64(44)).astype(np.int64) % BUCKETS)
-        owners.append(owner[: len(whole)][whole])
-    return np.concatenate(features), np.concatenate(owners)
+def subwords(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Feature numbers of all words and their n-grams, and the word (by place) that each belongs to.
+
+    Words are read whole, whatever their length; what is at hand at once is bounded by ``PIECE``.
+    """
+    yield (word_hashes(words) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64) % BUCKETS, np.arange(len(words))
+    line = np.frombuffer(b"".join(b"<%b>" % w for w in words), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    for start in range(0, len(line), PIECE):
+        # n-grams that start in this piece
+        raw = line[start : start + PIECE + max(GRAMS) - 1].astype(np.uint64)
+        owner = np.searchsorted(ends, np.arange(start, start + len(raw)), "right")
+        for n in GRAMS:
+            many = min(PIECE, len(raw) - n + 1)
+            if many < 1:
+                continue
+            whole = owner[:many] == owner[n - 1 : n - 1 + many]
+            gram = np.zeros(many, np.uint64)
+            for k in range(n):
+                gram = gram << np.uint64(8) | raw[k : k + many]
+            gram = (gram[whole] + np.uint64(n << 40)) * np.uint64(0xD6E8FEB86659FD93)
+            yield (gram >> np.uint64(44)).astype(np.int64) % BUCKETS, owner[:many][whole]
 
 
 def word_grams(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +110,10 @@ def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     numbers, _ = words.numbers([text])
     if not len(numbers):
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    features, owners = subwords(words.new)
-    counts = np.bincount(features, np.bincount(numbers)[owners], FEATURES)
+    times = np.bincount(numbers)
+    counts = np.zeros(FEATURES)
+    for features, owners in subwords(words.new):
+        counts += np.bincount(features, times[owners], FEATURES)
     counts += np.bincount(word_grams(word_hashes(words.new)[numbers], np.zeros(len(numbers), np.int64))[0], minlength=FEATURES)
     found = np.flatnonzero(counts)
     return found.astype(np.int32), (counts[found] / counts.sum()).astype(np.float32)
@@ -174,9 +179,11 @@ class Scorer:
 
     def catch_up(self) -> None:
         if new := self.words.new:
-            features, owners = subwords(new)
-            self.sums = np.concatenate([self.sums, np.bincount(owners, self.weights[features], len(new))])
-            self.counts = np.concatenate([self.counts, np.bincount(owners, minlength=len(new))])
+            sums, counts = np.zeros(len(new)), np.zeros(len(new))
+            for features, owners in subwords(new):
+                sums += np.bincount(owners, self.weights[features], len(new))
+                counts += np.bincount(owners, minlength=len(new))
+            self.sums, self.counts = np.concatenate([self.sums, sums]), np.concatenate([self.counts, counts])
             self.hashes = np.concatenate([self.hashes, word_hashes(new)])
             self.words.new = []
 

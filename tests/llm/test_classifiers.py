@@ -61,6 +61,27 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("score <> 0.5").count() == 0
 
 
+def test_quality_reads_long_words_whole(monkeypatch):
+    """Every n-gram of a word counts, wherever pieces are cut."""
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"abcdefgh") for _ in range(n)) for n in (5000, 1, 97, 300)]
+    text = b" ".join([*words, words[2]])
+    ids, share = quality.counted(text)
+    monkeypatch.setattr(quality, "PIECE", 61)
+    cut_ids, cut_share = quality.counted(text)
+    assert (ids == cut_ids).all() and (share == cut_share).all()
+    n_grams = sum(1 + sum(max(len(w) + 3 - n, 0) for n in quality.GRAMS) for w in [*words, words[2]])
+    n_word_grams = len(words)  # bigrams; no trigram is repeated
+    assert np.isclose(1 / (n_grams + n_word_grams), share[share > 0].min())
+    # what stands in the middle of a word moves the score as learned
+    clean, junk = (w * 400 for w in ("anerthin", "zqxjkvwz"))
+    rows = [(*quality.counted(t.encode()), y) for t, y in ((clean, 1), (junk, 0)) for _ in range(20)]
+    scorer = quality.Scorer(quality.Model.trained(rows, 8, 2.0))
+    ends = "anerthin" * 8
+    found = scorer.scores([(ends + clean + ends).encode(), (ends + junk + ends).encode()])
+    assert found[0] > 0.8 and found[1] < 0.2
+
+
 def test_toxicity_reads_long_words_whole():
     """Every n-gram of a long run of bytes is in a word of bounded size, also in its middle."""
     rng = random.Random(4)
