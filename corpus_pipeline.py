@@ -26,9 +26,10 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
+    Near duplicates share 80 % or more of their shingles of five words.
     Of repeated rows (same id and text) one stays. Rows without an id cannot be named and stay.
     """
-    groups = jaccard.join(docs.select("doc_id", "text"))
+    groups = jaccard.join(docs.select("doc_id", "text"), width=5, percent=80)
     first = written(groups.where("doc_id = component_id").select("doc_id").distinct(), "pipeline-first")
     named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -23,5 +23,14 @@ def test_each_decision(spark, tmp_path):
     assert read(12) == "well  indeed" and read(14) == "my [secret] is here now" and read(0) == clean[0] and got[15] == []
 
 
+def test_near_duplicates_share_four_fifths_of_five_words(spark):
+    """A copy with a passage of a fifth of its length appended goes; one with much more stays."""
+    words = [f"word{k}" for k in range(200)]
+    more = [f"more{k}" for k in range(80)]
+    texts = [words, words + more[:42], [f"other{k}" for k in range(80)] + words]
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, "").collect()) == [0, 2]
+
+
 def test_stages():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
