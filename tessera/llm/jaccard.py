@@ -10,12 +10,13 @@ its prefixes meet under the other orders too.
 
 Work is on distinct sets, so copies cost nothing. Candidates are first compared by size and by
 parity sketches, whose differing bits never exceed the sets' difference. What is asked for is which
-sets are connected, so not every pair need be verified: round by round, the nearest few candidates
-of each set that are not connected yet are, and more each time, until no unverified pair of two
-components is left, so no link is lost. Lists of at most ``SHORT`` sets give their candidates at
-once. In longer ones each set is first paired with one pivot, and only pairs that are not connected
-yet are then compared, inside the task of the list, which is dealt into blocks, and pairs of blocks,
-of bounded size. There each set goes on behind the pairs that it has given in earlier rounds.
+sets are connected, so not every pair need be verified. Lists of at most ``SHORT`` sets give their
+pairs; in longer ones each set is paired with a pivot. The nearest pairs of each set are verified
+first, which gives most components. What may still join two components is then found: candidates of
+short lists as they are, and of long lists, inside the task of a tile of bounded size, pairs that
+span the graph of its candidates. Connected by these, sets form clusters. Every cluster is verified
+in tiles, where a pair is passed over only if its sets are connected already, so no link is lost and
+each step gives fewer pairs than it has sets.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import binaries, portions, written
@@ -35,11 +36,12 @@ COUNTERS = 1 << 22
 CHUNK = 1 << 16
 #: Longest list whose pairs are compared at once; longer ones go through pivots and blocks.
 SHORT = 96
-#: Members of a long list that one task compares.
-BLOCK = 2048
-#: Nearest pairs given and verified for each set in the first round; each further round takes twice as many, up to GIVEN.
-NEAREST = 4
-GIVEN = 256
+#: Sets of a block; a task compares two blocks.
+BLOCK = 1024
+#: Tokens of a block whose sets are verified in a task.
+TILE_TOKENS = 1 << 19
+#: Nearest pairs of each set that are verified first.
+NEAREST = 2
 BROADCAST_BYTES = 48 << 20
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xA0761D6478BD642F)]
@@ -288,80 +290,159 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-TILE = "token long, tile struct<i:int,j:int>"
-#: How far a set has come in a task: distance and partner of its last pair given, and how many it gave last.
-REACHED = f"{TILE}, sid binary, d int, other binary, times long"
+TILE = "tile struct<i:int,j:int>"
 
 
-def open_pairs(lists: DataFrame, label: DataFrame, table: DataFrame, percent: int, reached: DataFrame, most_given: int) -> DataFrame:
-    """Pairs (token, tile, sid, other, d) of a list, of two components, whose sketches differ in d bits and so allow a link.
+def tiles(rows: DataFrame, by: str, weight: Column, most: int) -> DataFrame:
+    """Deal the rows (``by``, sid, comp, ...) of each group to tiles, pairs of blocks of bounded weight; adds tile and block.
 
-    Only lists with two components or more are looked at. In a task each set gives its next
-    ``most_given`` pairs by distance and partner, behind the last one in ``reached``. Which of two
-    sets gives their pair, and in what order, is the same in every round.
+    Two rows of a group and of different components meet in some tile. A group's largest component
+    is passive: its rows meet only those of other components, which are active, so what is dealt is
+    in proportion to the group while its other components fit in a block.
     """
-    known = lists.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    known = written(known, "jaccard-lists")
-    many = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    rows = written(known.join(many, "token", "left_semi"), "jaccard-open")
-    parity = wanted(table, rows.select("sid"), "parity")
-    rows = rows.join(parity, "sid")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = rows.select(
-        "token", F.explode(F.transform(other, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))).alias("tile"), "block", "sid", "n", "comp", "parity"
-    )
-
-    def compare(group: pa.Table, before: pa.Table) -> pa.Table:
-        group = group.sort_by("sid")
-        sid = np.array(group["sid"].to_pylist(), object)
-        comp = np.unique(np.array(group["comp"].to_pylist(), "S16"), return_inverse=True)[1]
-        n, block = group["n"].to_numpy().astype(np.int64), group["block"].to_numpy()
-        raw = [np.frombuffer(x, np.uint8) for x in group["parity"].to_pylist()]
-        givers, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(group):
-            place = {x: k for k, x in enumerate(sid)}
-            # pairs of a set are numbered by distance, then partner
-            last = np.full(len(sid), -1, np.int64)
-            for x, d, y in zip(before["sid"].to_pylist(), before["d"].to_pylist(), before["other"].to_pylist(), strict=True):
-                last[place[x]] = d * len(sid) + place[y]
-            diagonal = group["tile"][0].as_py()
-            across = diagonal["i"] != diagonal["j"]
+    sums = rows.groupBy(by, "comp").agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
+    total = sums.groupBy(by).agg(F.max_by("comp", F.struct("w", "comp")).alias("passive"), F.max("w").alias("w_passive"), (F.sum("w") - F.max("w")).alias("w_active"), F.count("*").alias("comps"))
+    size = lambda w: F.greatest(F.ceil(F.col(w) / most), F.lit(1)).cast("int")
+    total = written(total.where("comps > 1").select(by, "passive", size("w_active").alias("actives"), size("w_passive").alias("passives")), "jaccard-dealt")
+    one = F.pmod(F.xxhash64("sid", F.lit(by)), F.when(F.col("comp") == F.col("passive"), F.col("passives")).otherwise(F.col("actives"))).cast("int")
+    block = F.when(F.col("comp") == F.col("passive"), F.col("actives") + one).otherwise(one)
+    tile = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    among = F.transform(upto(F.col("actives") + F.col("passives")), lambda j: tile(F.least(F.col("block"), j), F.greatest(F.col("block"), j)))
+    across = F.transform(upto(F.col("actives")), lambda i: tile(i, F.col("block")))
+    dealt = rows.join(total, by).withColumn("block", block)
+    dealt = dealt.withColumn("tile", F.explode(F.when(F.col("block") < F.col("actives"), among).otherwise(across)))
+    return dealt.drop("passive", "actives", "passives")
+
+
+class Tile:
+    """The rows of a tile: which pairs may link, and how far they are merged."""
+
+    def __init__(self, rows: pa.Table, percent: int):
+        self.percent = percent
+        self.sid = rows["sid"].combine_chunks()
+        self.comp = np.unique(np.array(rows["comp"].to_pylist(), "S16"), return_inverse=True)[1]
+        self.n, self.block = rows["n"].to_numpy().astype(np.int64), rows["block"].to_numpy()
+        self.across = bool(len(self.block)) and rows["tile"][0].as_py()["i"] != rows["tile"][0].as_py()["j"]
+        self.a: list[int] = []
+        self.b: list[int] = []
+
+    def sketches(self, raw: list[bytes]) -> None:
+        raw = [np.frombuffer(x, np.uint8) for x in raw]
         sizes = np.array([len(r) for r in raw], np.int64)
+        self.by_size = []
         for size in np.unique(sizes):
             # a set with a shorter sketch cannot meet one of more than twice the length
             here = np.flatnonzero((sizes >= size) & (sizes <= 2 * size))
-            table_ = np.stack([folded(raw[k], size) for k in here])
-            words = table_.view(np.uint64)
-            for a in np.flatnonzero(sizes[here] == size):
-                b = np.flatnonzero(((sizes[here] > size) | (np.arange(len(here)) > a)) & (comp[here] != comp[here[a]]))
-                if across:
-                    b = b[block[here[b]] != block[here[a]]]
-                if not len(b):
-                    continue
-                total = n[here[b]] + n[here[a]]
-                most = total - 2 * -(-percent * total // (100 + percent))
-                d = np.bitwise_count(words[b] ^ words[a]).sum(axis=1).astype(np.int64)
-                number = d * len(sid) + here[b]
-                number = number[(d <= most) & (number > last[here[a]])]
-                if len(number) > most_given:
-                    number = np.partition(number, most_given - 1)[:most_given]
-                givers.append(np.full(len(number), here[a]))
-                numbers.append(number)
-        giver, number = np.concatenate(givers), np.concatenate(numbers)
-        names = pa.array(list(sid), pa.binary())
-        key = group if len(group) else before
-        return pa.table(
-            {
-                "token": pa.array([key["token"][0].as_py()] * len(giver), pa.int64()),
-                "tile": pa.array([key["tile"][0].as_py()] * len(giver), pa.struct([("i", pa.int32()), ("j", pa.int32())])),
-                "sid": names.take(pa.array(giver)),
-                "other": names.take(pa.array(number % max(len(sid), 1))),
-                "d": pa.array(number // max(len(sid), 1), pa.int32()),
-            }
-        )
-
-    by = ("token", "tile")
-    return dealt.groupBy(*by).cogroup(reached.groupBy(*by)).applyInArrow(compare, f"{TILE}, sid binary, other binary, d int")
+            words = np.stack([folded(raw[k], size) for k in here]).view(np.uint64)
+            self.by_size.append((here, sizes[here], int(size), words))
+
+    def near(self, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row, and the rows of other components and other groups that size and sketch allow it to link with."""
+        for here, sizes, size, words in self.by_size:
+            for a in np.flatnonzero(sizes == size).tolist():
+                k = here[a]
+                others = ((sizes > size) | (np.arange(len(here)) > a)) & (group[here] != group[k]) & (self.comp[here] != self.comp[k])
+                if self.across:
+                    others &= self.block[here] != self.block[k]
+                b = np.flatnonzero(others)
+                total = self.n[here[b]] + self.n[k]
+                least = -(-self.percent * total // (100 + self.percent))
+                able = np.minimum(self.n[here[b]], self.n[k]) >= least
+                b, total, least = b[able], total[able], least[able]
+                if len(b):
+                    d = np.bitwise_count(words[b] ^ words[a]).sum(axis=1).astype(np.int64)
+                    b = b[d <= total - 2 * least]
+                if len(b):
+                    yield int(k), here[b]
+
+    def merge(self, group: np.ndarray, k: int, others: np.ndarray) -> None:
+        """Join the groups of ``others`` to that of ``k``, by one link to each."""
+        found, first = np.unique(group[others], return_index=True)
+        self.a += [k] * len(first)
+        self.b += others[first].tolist()
+        group[np.isin(group, found)] = group[k]
+
+    def links(self) -> pa.Table:
+        sid = self.sid
+        return pa.table({"a": sid.take(pa.array(self.a, pa.int64())), "b": sid.take(pa.array(self.b, pa.int64()))})
+
+
+def may_link(lists: DataFrame, label: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that span the graph of the sets of long lists whose sizes and sketches allow a link across components.
+
+    A tile of n sets gives n - 1 pairs at most. What may link is connected by them.
+    """
+    known = lists.select("token", "sid", "n").join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    many = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    rows = written(known.join(many, "token", "left_semi"), "jaccard-open")
+    parity = written(wanted(table, rows.select("sid"), "parity"), "jaccard-open-parity")
+    dealt = tiles(rows, "token", F.lit(1), BLOCK).join(parity, "sid")
+
+    def run(group: pa.Table) -> pa.Table:
+        tile = Tile(group.sort_by("sid"), percent)
+        tile.sketches(group.sort_by("sid")["parity"].to_pylist())
+        merged = np.arange(len(tile.n))
+        for k, others in tile.near(merged):
+            tile.merge(merged, k, others)
+        return tile.links()
+
+    return dealt.select("token", "tile", "block", "sid", "n", "comp", "parity").groupBy("token", "tile").applyInArrow(run, "a binary, b binary")
+
+
+def linked(clusters: DataFrame, label: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each cluster (sid, cluster) as far as links go.
+
+    In a tile, pairs of components that are not joined yet must agree in size and sketch, then meet
+    in their prefixes under each of the further orders; those left are verified by intersection. A
+    tile of n sets gives n - 1 links at most.
+    """
+    members = clusters.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    tokens = written(wanted(table, members.select("sid"), "n", "tokens"), "jaccard-members")
+    rows = members.join(tokens.select("sid", "n"), "sid")
+    dealt = tiles(rows, "cluster", F.greatest(F.col("n").cast("long"), F.lit(TILE_TOKENS // BLOCK)), TILE_TOKENS).join(tokens.select("sid", "tokens"), "sid")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("sid")
+        tile = Tile(group, percent)
+        sets = [np.frombuffer(t, np.uint64) for t in group["tokens"].to_pylist()]
+        tile.sketches([sketch(t) for t in sets])
+        numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        whole = Members(sets, numbers)
+        orders = [Members([np.sort(mixed(t, which))[: prefix(len(t), percent)] for t in sets]) for which in (3, 4)]
+        merged = tile.comp.copy()
+        for k, others in tile.near(merged):
+            for order in orders:
+                others = others[order.shared(k, others) > 0]
+            if len(others):
+                total = tile.n[others] + tile.n[k]
+                others = others[whole.shared(k, others) >= -(-percent * total // (100 + percent))]
+                if len(others):
+                    tile.merge(merged, k, others)
+        return tile.links()
+
+    return dealt.select("cluster", "tile", "block", "sid", "n", "comp", "tokens").groupBy("cluster", "tile").applyInArrow(run, "a binary, b binary")
+
+
+class Members:
+    """Sets of small numbers, end to end."""
+
+    def __init__(self, sets: list[np.ndarray], numbers: np.ndarray | None = None):
+        self.numbers = np.unique(np.concatenate(sets), return_inverse=True)[1] if numbers is None else numbers
+        self.size = np.array([len(t) for t in sets], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.mark = np.zeros(int(self.numbers.max(initial=0)) + 1, bool)
+
+    def shared(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set ``k`` with the others."""
+        own = self.numbers[self.start[k] : self.start[k] + self.size[k]]
+        self.mark[own] = True
+        size = self.size[others]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) + np.repeat(self.start[others] - (ends - size), size)
+        out = np.add.reduceat(self.mark[self.numbers[place]], ends - size, dtype=np.int64)
+        self.mark[own] = False
+        return out
 
 
 def short_pairs(lists: DataFrame, table: DataFrame, percent: int) -> DataFrame:
@@ -449,37 +530,25 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     long_tokens = written(long_tokens.select("token"), "jaccard-long")
     crowded = not long_tokens.isEmpty()
     near = written(short_pairs(lists.join(long_tokens, "token", "left_anti") if crowded else lists, table, percent), "jaccard-near")
-    spark = table.sparkSession
-    done = spark.createDataFrame([], "a binary, b binary, linked boolean")
-    label = spark.createDataFrame([], "sid binary, comp binary")
-    reached = spark.createDataFrame([], REACHED)
     if crowded:
         lists = written(lists.join(long_tokens, "token", "left_semi"), "jaccard-long-lists")
         near = near.unionByName(pivots(lists, percent).withColumn("d", F.lit(0)))
-    to_give = to_verify = NEAREST
-    while True:
-        # pairs that are connected by now or verified need not be looked at again
-        near = written(crossing(near, label).groupBy("a", "b").agg(F.min("d").alias("d")).join(done.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-near")
-        if near.isEmpty():
-            if not crowded:
-                break
-            given = written(open_pairs(lists, label, table, percent, reached, to_give), "jaccard-given")
-            now = given.groupBy("token", "tile", "sid").agg(F.max(F.struct("d", "other")).alias("last"), F.count("*").alias("times"))
-            now = written(now.select("token", "tile", "sid", "last.d", "last.other", "times"), "jaccard-reached")
-            # a set that gave fewer than it may has no more, as components only grow together
-            crowded = not now.where(F.col("times") >= to_give).isEmpty()
-            moved = now.select("token", "tile", "sid")
-            reached = written(reached.join(moved, ["token", "tile", "sid"], "left_anti").unionByName(now), "jaccard-reached")
-            near = given.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"), "d")
-            to_give = min(2 * to_give, GIVEN)
-            continue
-        sides = near.select("a", "b", "d", F.explode(F.array("a", "b")).alias("sid"))
-        nearest = Window.partitionBy("sid").orderBy("d", "a", "b")
-        chosen = sides.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= to_verify).select("a", "b").distinct()
-        to_verify = min(2 * to_verify, GIVEN)
-        more = verified(table, written(chosen, "jaccard-pairs"), percent)
-        done = written(done.unionByName(more), "jaccard-verified")
-        label = components(done.where("linked").select("a", "b"))
+    near = written(near.groupBy("a", "b").agg(F.min("d").alias("d")), "jaccard-first")
+    sides = near.select("a", "b", "d", F.explode(F.array("a", "b")).alias("sid"))
+    nearest = Window.partitionBy("sid").orderBy("d", "a", "b")
+    chosen = sides.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= NEAREST).select("a", "b").distinct()
+    done = written(verified(table, written(chosen, "jaccard-pairs"), percent), "jaccard-verified")
+    links = done.where("linked").select("a", "b")
+    label = components(links)
+    # what may still join two components
+    left = crossing(near, label).select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
+    if crowded:
+        left = left.unionByName(may_link(lists, label, table, percent))
+    left = written(left, "jaccard-left")
+    if not left.isEmpty():
+        clusters = components(left).withColumnRenamed("comp", "cluster")
+        links = written(links.unionByName(linked(clusters, label, table, percent)), "jaccard-links")
+        label = components(links)
     own = table.where("sid is not null").groupBy("sid").agg(F.min("key").alias("least"))
     joined = written(own.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-own")
     roots = written(joined.groupBy("comp").agg(F.min("least").alias("root")), "jaccard-roots")

@@ -56,17 +56,19 @@ def test_against_brute_force(spark, monkeypatch, block, short):
     assert got == brute(rows, 3, 80)
 
 
-@pytest.mark.parametrize("weak", [True, False])
-def test_single_links_of_borderline_families(spark, monkeypatch, weak):
+@pytest.mark.parametrize("weak,small,size", [(True, True, 30), (False, True, 30), (True, False, 110), (False, False, 110)])
+def test_single_links_of_borderline_families(spark, monkeypatch, weak, small, size):
     """Families just below the threshold, joined by one pair; other pairs of theirs come before it."""
-    monkeypatch.setattr(jaccard, "NEAREST", 1)
-    monkeypatch.setattr(jaccard, "BLOCK", 64)
-    monkeypatch.setattr(jaccard, "SHORT", 4)
+    if small:
+        monkeypatch.setattr(jaccard, "NEAREST", 1)
+        monkeypatch.setattr(jaccard, "BLOCK", 64)
+        monkeypatch.setattr(jaccard, "TILE_TOKENS", 4096)
+        monkeypatch.setattr(jaccard, "SHORT", 4)
     core = [f"core{k}" for k in range(176)]
     rows, marked = [], {}
     for f in range(4):
         own = core + [f"family{f}w{k}" for k in range(22)]
-        for m in range(30):
+        for m in range(size):
             x = "x" if m < 4 or m == 17 else f"m{m}x"
             y = "y" if 4 <= m < 8 or m == 17 else f"m{m}y"
             rows.append(" ".join([*own, f"f{f}{x}", f"f{f}{y}"]))
