@@ -61,7 +61,7 @@ class Shingler:
         self.width, self.known = width, {}
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > 400_000:
+        if len(self.known) > 120_000:
             self.known = {}
         known, hashed = self.known, xxhash.xxh3_64_intdigest
         flat: list[int] = []
@@ -187,7 +187,7 @@ def postings(table: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
             for sid, raw in zip(batch.column("sid").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                 if sid in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(sid)
                 tokens = np.frombuffer(raw, np.uint64)
                 p = prefix(len(tokens), percent)
