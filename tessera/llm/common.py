@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -30,21 +29,71 @@ def shared_dir(spark: SparkSession) -> str:
     return here.rstrip("/")
 
 
+#: Bytes of an Arrow batch to a Python worker; Spark's own default counts rows first and allows 64 MiB.
+BATCH_BYTES = "4m"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, which from now on sends texts to Python in batches of bounded size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Shuffle files of earlier tables are of no use by then; a collection lets Spark remove them.
+    Spark removes the shuffle files as soon as the table is there; see ``Scratch`` for the table itself.
     """
-    spark = df.sparkSession
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = bounded(df.sparkSession)
     path = f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _scratch:
+        _scratch[-1].made[path] = out
+    return out
+
+
+_scratch: list[Scratch] = []
+
+
+class Scratch:
+    """Within ``with Scratch() as s``, tables made by ``written`` are deleted at the end, but for those given to ``s.keep``.
+
+    What is kept must not read the others any more; it belongs to the scratch around this one, if any.
+    """
+
+    def __init__(self):
+        self.made: dict[str, DataFrame] = {}
+        self.kept: set[int] = set()
+
+    def __enter__(self) -> Scratch:
+        _scratch.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(id(df))
+        return df
+
+    def __exit__(self, *_) -> None:
+        _scratch.remove(self)
+        for path, df in self.made.items():
+            if id(df) in self.kept:
+                if _scratch:
+                    _scratch[-1].made[path] = df
+                continue
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def binaries(column: pa.Array) -> list[bytes | None]:

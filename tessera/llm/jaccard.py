@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import binaries, portions, written
+from tessera.llm.common import Scratch, binaries, portions, written
 
 #: Counters of the frequency sketch; 4 bytes each.
 COUNTERS = 1 << 22
@@ -146,12 +146,13 @@ def frequencies(table: DataFrame) -> np.ndarray:
     """A counting sketch of all tokens: ``COUNTERS`` numbers, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint64)
-            total += np.bincount((raw >> np.uint64(42)).astype(np.int64), minlength=COUNTERS)
+            for part in portions(batch.column("tokens").to_pylist()):
+                place, times = np.unique((np.frombuffer(b"".join(part), np.uint64) >> np.uint64(42)).astype(np.int32), return_counts=True)
+                total[place] += np.minimum(times, (1 << 32) - 1 - total[place]).astype(np.uint32)
         for k in range(0, COUNTERS, CHUNK):
-            part = np.minimum(total[k : k + CHUNK], (1 << 32) - 1).astype(np.uint32)
+            part = total[k : k + CHUNK]
             if part.any():
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counts": [part.tobytes()]})
 
@@ -278,16 +279,19 @@ def meet(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def components(links: DataFrame) -> DataFrame:
     """(sid, comp): the smallest sid reachable, for every sid in a link. Labels spread and jump until they rest."""
-    edges = written(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct(), "jaccard-edges")
-    label = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("sid"), F.least("a", "m").alias("comp")), "jaccard-labels")
-    while True:
-        spread = edges.join(label, edges.b == label.sid).groupBy("a").agg(F.min("comp").alias("near"))
-        moved = label.join(spread, label.sid == spread.a).select("sid", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
-        hop = label.select(F.col("sid").alias("via"), F.col("comp").alias("far"))
-        after = written(moved.join(hop, F.col("next") == F.col("via"), "left").select("sid", F.least("next", F.coalesce("far", "next")).alias("comp"), "was"), "jaccard-labels")
-        label = after.select("sid", "comp")
-        if after.where("comp <> was").isEmpty():
-            return label
+    with Scratch() as s:
+        both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        edges = written(links.select(F.explode(both).alias("e")).select("e.a", "e.b").distinct(), "jaccard-edges")
+        label = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("sid"), F.least("a", "m").alias("comp"), F.col("a").alias("was")), "jaccard-labels")
+        resting = label.isEmpty()
+        while not resting:
+            now = label.select("sid", "comp")
+            spread = edges.join(now, edges.b == now.sid).groupBy("a").agg(F.min("comp").alias("near"))
+            moved = now.join(spread, now.sid == spread.a).select("sid", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
+            hop = now.select(F.col("sid").alias("via"), F.col("comp").alias("far"))
+            label = written(moved.join(hop, F.col("next") == F.col("via"), "left").select("sid", F.least("next", F.coalesce("far", "next")).alias("comp"), "was"), "jaccard-labels")
+            resting = label.where("comp <> was").isEmpty()
+        return s.keep(label).select("sid", "comp")
 
 
 TILE = "tile struct<i:int,j:int>"
@@ -524,34 +528,39 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     a null key take part, but give no component_id unless alone, where it is null. Repeated rows
     each get their row. Texts are whole. Other columns are ignored.
     """
-    table = written(sets(docs, key, text, width), "jaccard-table")
-    lists = written(postings(table, frequencies(table), percent), "jaccard-postings")
-    long_tokens = lists.groupBy("token").agg(F.count("*").alias("size"), F.max("blocks").alias("most")).where((F.col("size") > SHORT) | (F.col("most") > 1))
-    long_tokens = written(long_tokens.select("token"), "jaccard-long")
-    crowded = not long_tokens.isEmpty()
-    near = written(short_pairs(lists.join(long_tokens, "token", "left_anti") if crowded else lists, table, percent), "jaccard-near")
-    if crowded:
-        lists = written(lists.join(long_tokens, "token", "left_semi"), "jaccard-long-lists")
-        near = near.unionByName(pivots(lists, percent).withColumn("d", F.lit(0)))
-    near = written(near.groupBy("a", "b").agg(F.min("d").alias("d")), "jaccard-first")
-    sides = near.select("a", "b", "d", F.explode(F.array("a", "b")).alias("sid"))
-    nearest = Window.partitionBy("sid").orderBy("d", "a", "b")
-    chosen = sides.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= NEAREST).select("a", "b").distinct()
-    done = written(verified(table, written(chosen, "jaccard-pairs"), percent), "jaccard-verified")
-    links = done.where("linked").select("a", "b")
-    label = components(links)
-    # what may still join two components
-    left = crossing(near, label).select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
-    if crowded:
-        left = left.unionByName(may_link(lists, label, table, percent))
-    left = written(left, "jaccard-left")
-    if not left.isEmpty():
-        clusters = components(left).withColumnRenamed("comp", "cluster")
-        links = written(links.unionByName(linked(clusters, label, table, percent)), "jaccard-links")
+    with Scratch() as all_:
+        table = all_.keep(written(sets(docs, key, text, width), "jaccard-table"))
+        lists = written(postings(table, frequencies(table), percent), "jaccard-postings")
+        long_tokens = lists.groupBy("token").agg(F.count("*").alias("size"), F.max("blocks").alias("most")).where((F.col("size") > SHORT) | (F.col("most") > 1))
+        long_tokens = written(long_tokens.select("token"), "jaccard-long")
+        crowded = not long_tokens.isEmpty()
+        with Scratch() as s:
+            near = short_pairs(lists.join(long_tokens, "token", "left_anti") if crowded else lists, table, percent)
+            if crowded:
+                lists = s.keep(written(lists.join(long_tokens, "token", "left_semi"), "jaccard-long-lists"))
+                near = near.unionByName(pivots(lists, percent).withColumn("d", F.lit(0)))
+            near = s.keep(written(near.groupBy("a", "b").agg(F.min("d").alias("d")), "jaccard-near"))
+        with Scratch() as s:
+            sides = near.select("a", "b", "d", F.explode(F.array("a", "b")).alias("sid"))
+            nearest = Window.partitionBy("sid").orderBy("d", "a", "b")
+            chosen = sides.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= NEAREST).select("a", "b").distinct()
+            done = s.keep(written(verified(table, written(chosen, "jaccard-pairs"), percent), "jaccard-verified"))
+        links = done.where("linked").select("a", "b")
         label = components(links)
-    own = table.where("sid is not null").groupBy("sid").agg(F.min("key").alias("least"))
-    joined = written(own.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-own")
-    roots = written(joined.groupBy("comp").agg(F.min("least").alias("root")), "jaccard-roots")
-    final = written(joined.join(roots, "comp").select("sid", "root"), "jaccard-final")
+        # what may still join two components
+        with Scratch() as s:
+            left = crossing(near, label).select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
+            if crowded:
+                left = left.unionByName(may_link(lists, label, table, percent))
+            left = s.keep(written(left, "jaccard-left"))
+        if not left.isEmpty():
+            with Scratch() as s:
+                clusters = components(left).withColumnRenamed("comp", "cluster")
+                links = s.keep(written(links.unionByName(linked(clusters, label, table, percent)), "jaccard-links"))
+            label = components(links)
+        own = table.where("sid is not null").groupBy("sid").agg(F.min("key").alias("least"))
+        joined = written(own.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-own")
+        roots = written(joined.groupBy("comp").agg(F.min("least").alias("root")), "jaccard-roots")
+        final = all_.keep(written(joined.join(roots, "comp").select("sid", "root"), "jaccard-final"))
     rows = table.select("key", "n", "sid").join(final, "sid", "left")
     return rows.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("key")).otherwise(F.col("root")).alias("component_id"))
