@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Bytes of an Arrow batch to a Python worker; Spark's own default counts rows first and allows 64 MiB.
 BATCH_BYTES = "4m"
+#: Files of a table by cores of the cluster: enough to keep them busy, and no file for each of many small partitions.
+FILES_A_CORE = 4
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -50,7 +52,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

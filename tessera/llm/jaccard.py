@@ -545,8 +545,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
             nearest = Window.partitionBy("sid").orderBy("d", "a", "b")
             chosen = sides.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= NEAREST).select("a", "b").distinct()
             done = s.keep(written(verified(table, written(chosen, "jaccard-pairs"), percent), "jaccard-verified"))
-        links = done.where("linked").select("a", "b")
-        label = components(links)
+        label = components(done.where("linked").select("a", "b"))
         # what may still join two components
         with Scratch() as s:
             left = crossing(near, label).select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
@@ -556,8 +555,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         if not left.isEmpty():
             with Scratch() as s:
                 clusters = components(left).withColumnRenamed("comp", "cluster")
-                links = s.keep(written(links.unionByName(linked(clusters, label, table, percent)), "jaccard-links"))
-            label = components(links)
+                more = linked(clusters, label, table, percent)
+                side = lambda k: label.select(F.col("sid").alias(k), F.col("comp").alias("c_" + k))
+                more = more.join(side("a"), "a", "left").join(side("b"), "b", "left")
+                over = components(more.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
+                all_sids = label.unionByName(over.select("sid", F.col("sid").alias("comp")).join(label.select("sid"), "sid", "left_anti"))
+                joined = all_sids.join(over.select(F.col("sid").alias("comp"), F.col("comp").alias("least")), "comp", "left")
+                label = s.keep(written(joined.select("sid", F.coalesce("least", "comp").alias("comp")), "jaccard-label"))
         own = table.where("sid is not null").groupBy("sid").agg(F.min("key").alias("least"))
         joined = written(own.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-own")
         roots = written(joined.groupBy("comp").agg(F.min("least").alias("root")), "jaccard-roots")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import binaries, fold_bucket, once, portions
+from tessera.llm.common import binaries, bounded, fold_bucket, once, portions
 
 BUCKETS = 1 << 15
 WORD_PAIRS = 1 << 15
@@ -214,6 +214,7 @@ def fit(
     At most ``train_rows`` of them are used: those first by a hash of doc_id, whatever the size of
     the input. Rows without a label or id are not used; without any row the model says one half.
     """
+    bounded(docs.sparkSession)
     marks = (
         labels.select("doc_id", F.col(label).cast("int").alias("__y"))
         .where(F.col("__y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_bucket("doc_id", held_out[0]) != held_out[1]))
@@ -229,8 +230,9 @@ def fit(
                 ids, part = counted(text)
                 yield pa.RecordBatch.from_pydict({"i": [i], "y": pa.array([y], pa.int32()), "ids": [ids.tobytes()], "part": [part.tobytes()]})
 
-    found = sorted(rows.mapInArrow(run, "i long, y int, ids binary, part binary").collect(), key=lambda r: (r.i, bytes(r.ids)))
-    return Model.trained([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.part, np.float32), r.y) for r in found], epochs, rate)
+    found = rows.mapInArrow(run, "i long, y int, ids binary, part binary").toArrow().sort_by([("i", "ascending"), ("ids", "ascending")])
+    parts = zip(found["ids"], found["part"], found["y"].to_pylist(), strict=True)
+    return Model.trained([(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(p.as_buffer(), np.float32), y) for i, p, y in parts], epochs, rate)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -251,4 +253,4 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             found = np.concatenate([scorer.scores(part) for part in portions(binaries(batch.column(batch.num_columns - 1)))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=[*names, column])
 
-    return kept.withColumn("__text", F.coalesce("text", F.lit(""))).mapInArrow(run, schema)
+    return kept.select("*", F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(run, schema)
