@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import OUT_BYTES, binaries, once
+from tessera.llm.common import OUT_BYTES, binaries, once, with_text
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens whose ids a worker remembers; the memory starts anew beyond it.
@@ -137,7 +137,7 @@ def encode(docs: DataFrame, path: str, text: str | Column = "text", ids: str = "
     key = "bpe:" + hashlib.sha256(spec.encode()).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(spec)
     kept = docs.drop(ids, decoded)
-    source = kept.withColumn("__text", F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string"))
+    source = with_text(kept, F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string"))
     schema = kept.withColumns({ids: F.lit(None).cast("array<int>"), decoded: F.lit(None).cast("string")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of output that a Python stage gathers before it hands a batch to the JVM, in bytes.
@@ -98,6 +98,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with ``text`` as its last column, under a name that no other column has."""
+    taken, name = {c.lower() for c in docs.columns}, "__text"
+    while name in taken:
+        name += "_"
+    return docs.select("*", text.alias(name))
+
+
 def binaries(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary()).to_pylist()

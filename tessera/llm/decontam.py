@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import binaries, once
+from tessera.llm.common import binaries, once, with_text
 
 # What is lowered, kept and turned to a space.
 FOLD = bytes(
@@ -50,7 +50,7 @@ class Automaton:
                 owners.setdefault(pattern, set()).add(item)
                 lengths[pattern] = len(window)
         for pattern, who in owners.items():
-            self.machine.add_word(pattern, (lengths[pattern], tuple(sorted(who))))
+            self.machine.add_word(pattern, (lengths[pattern], tuple(sorted(i for i in who if i is not None))))
         self.empty = not owners
         if owners:
             self.machine.make_automaton()
@@ -105,12 +105,12 @@ def scan(
     """Add ``n_words`` (long), ``items`` (array<string>, sorted) and ``spans`` to every row.
 
     A span is a maximal run of hit words: its first and last word (from 0) and its start and end in
-    the original text (code points, end exclusive). Null or empty texts have no words. Items with a
-    null id or without words have no windows; repeated items count once. An empty benchmark hits
+    the original text (code points, end exclusive). Null or empty texts have no words. Items
+    without words have no windows; repeated items count once; items with a null id hit, but are not listed. An empty benchmark hits
     nothing. Columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
-    bench = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(
+    bench = benchmark.where(F.col(item_text).isNotNull()).select(
         F.col(item).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t")
     )
     total = bench.agg(F.sum(F.length("t"))).first()[0] or 0
@@ -129,7 +129,7 @@ def scan(
 def _scanned(docs: DataFrame, items, text: str, width: int) -> DataFrame:
     schema = docs.schema
     names = schema.names
-    source = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    source = with_text(docs, F.coalesce(F.col(text).cast("string"), F.lit("")))
     key = f"decontam:{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ item AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 win AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS pat
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM item WHERE len(w) > 0)),
@@ -27,7 +27,7 @@ hit AS (
 cover AS (SELECT uid, count(DISTINCT p) AS n_hit FROM (SELECT uid, unnest(range(k, k + n)) AS p FROM hit) GROUP BY uid),
 who AS (
   SELECT uid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-  FROM (SELECT DISTINCT uid, item_id FROM hit) GROUP BY uid)
+  FROM (SELECT DISTINCT uid, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY uid)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(h.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(h.ids, '')) AS items_sha256,
        coalesce(c.n_hit, 0) > 0 AS contaminated

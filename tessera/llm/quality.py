@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import binaries, bounded, fold_bucket, once, portions
+from tessera.llm.common import binaries, bounded, fold_bucket, once, portions, with_text
 
 BUCKETS = 1 << 15
 WORD_PAIRS = 1 << 15
@@ -253,4 +253,4 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             found = np.concatenate([scorer.scores(part) for part in portions(binaries(batch.column(batch.num_columns - 1)))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=[*names, column])
 
-    return kept.select("*", F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return with_text(kept, F.coalesce("text", F.lit(""))).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import binaries, fold_bucket, once, portions
+from tessera.llm.common import binaries, fold_bucket, once, portions, with_text
 
 WORDS, GRAMS_AT, GRAM_BUCKETS = 1 << 13, 1 << 13, 1 << 14
 ROWS = WORDS + GRAM_BUCKETS
@@ -321,7 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tupl
 
     Used are those first by a hash of doc_id, up to ``train_rows`` rows; of their texts, in that
     order, those that fit in ``train_bytes`` together. Rows without a label or id are not used;
-    without any row every score is one half.
+    without any row every score is one half. From the third epoch on, positives whose best window
+    has a logit below ``DOUBT`` are taken for mislabelled and passed over.
     """
     marks = (
         labels.select("doc_id", F.col(label).cast("int").alias("__y"))
@@ -360,4 +361,4 @@ def score(docs: DataFrame, net: Network, column: str = "score") -> DataFrame:
             found = np.concatenate([scorer.scores(part) for part in portions(binaries(batch.column(batch.num_columns - 1)), 256 << 10)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=[*names, column])
 
-    return kept.withColumn("__text", F.coalesce("text", F.lit(""))).mapInArrow(run, schema)
+    return with_text(kept, F.coalesce("text", F.lit(""))).mapInArrow(run, schema)

@@ -34,8 +34,10 @@ from tessera.llm.common import binaries, gathered, shared_dir, written
 # The ZIP format's signatures and limits.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 MOST_16, MOST_32, ZIP64_FIELD = 0xFFFF, 0xFFFFFFFF, 1
-#: A member holds records up to about this size, and a reader asks for so much at once.
+#: A member holds records up to about this size.
 MEMBER_BYTES = 8 << 20
+#: Records that follow each other are read at once up to this size; a larger one is read alone.
+READ_BYTES = 1 << 20
 ARCHIVE_BYTES = 256 << 20
 DATE = "2000-01-01T00:00:00Z"
 
@@ -76,9 +78,14 @@ class Stored:
 
 
 def directory(source, size: int) -> list[tuple[str, int, int, int]]:
-    """Members of an archive as (name, method, size, where its local header is), by range reads."""
+    """Members of an archive as (name, method, size, where its local header is), by range reads.
+
+    A file that is cut short or has no complete directory raises ValueError.
+    """
     tail = _range(source, max(0, size - 65_557), size)
     found = tail.rfind(END)
+    while found >= 0 and (found + 22 > len(tail) or found + 22 + struct.unpack_from("<H", tail, found + 20)[0] != len(tail)):
+        found = tail.rfind(END, 0, found)  # these bytes stand in the archive's comment
     if found < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack_from("<HII", tail, found + 10)
@@ -287,21 +294,37 @@ RECORDS = pa.schema(
 
 
 def read(found: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """Records of the members that ``members`` found, by range reads; without an index a member is parsed whole."""
+    """Records of the members that ``members`` found: the records of the index are range-read, small ones that follow each other at once.
+
+    A member without an index is walked from header to header. Records that are cut short, are no
+    WARC records or do not match their digest raise ValueError with the archive's name.
+    """
 
     def records(store, base, row) -> Iterator[tuple[tuple, int]]:
         with store.open_input_file(f"{base}/{row['archive']}") as source:
-            data = _range(source, row["at"], row["at"] + row["n"])
-            starts = json.loads(_range(source, row["index_at"], row["index_at"] + row["index_n"])) if row["index_at"] >= 0 else boundaries(data)
-        for a, b in zip(starts, [*starts[1:], len(data)], strict=True):
-            head, block = parsed(data[a:b])
-            number = lambda k: int(head[k]) if k in head else None  # noqa: B023, E731
-            if head["warc-type"] == "response" and digest(block) != head["warc-payload-digest"].removeprefix("sha1:"):
-                raise ValueError("payload does not match its digest")
-            yield (
-                (number("x-page-id"), head.get("warc-target-uri"), head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), number("x-payload-length"), number("x-refers-to-page-id"), block if payloads else None),
+            if row["index_at"] >= 0:
+                starts = json.loads(_range(source, row["index_at"], row["index_at"] + row["index_n"]))
+            else:
+                starts = boundaries(source, row["at"], row["n"])
+            ends = [*starts[1:], row["n"]]
+            for first, last in together(starts, ends):
+                data = _range(source, row["at"] + starts[first], row["at"] + ends[last])
+                for k in range(first, last + 1):
+                    yield one(data[starts[k] - starts[first] : ends[k] - starts[first]], row["archive"])
+
+    def one(raw: bytes, archive: str) -> tuple[tuple, int]:
+        try:
+            head, block = parsed(raw)
+            number = lambda k: int(head[k]) if k in head else None
+            sha = head["warc-payload-digest"].removeprefix("sha1:")
+            if len(block) != int(head["content-length"]) or head["warc-type"] == "response" and digest(block) != sha:
+                raise ValueError("payload does not match its length or digest")
+            return (
+                (number("x-page-id"), head.get("warc-target-uri"), head["warc-type"], sha, number("x-payload-length"), number("x-refers-to-page-id"), block if payloads else None),
                 len(block) if payloads else 64,
             )
+        except (ValueError, KeyError, IndexError) as e:
+            raise ValueError(f"broken record in {archive}: {e}") from e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -312,14 +335,33 @@ def read(found: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     return found.mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
-def boundaries(data: bytes) -> list[int]:
-    """Where records begin, read from the records themselves."""
+def together(starts: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs (first, last) of consecutive records of ``READ_BYTES`` together, or of one larger record."""
+    first = 0
+    for k in range(len(starts)):
+        if k > first and ends[k] - starts[first] > READ_BYTES:
+            yield first, k - 1
+            first = k
+    if starts:
+        yield first, len(starts) - 1
+
+
+def boundaries(source, start: int, size: int) -> list[int]:
+    """Where the records of a member begin, by reading their headers alone."""
     starts, at = [], 0
-    while at < len(data):
+    while at < size:
         starts.append(at)
-        end = data.index(b"\r\n\r\n", at)
-        length = next(int(x[16:]) for x in data[at:end].split(b"\r\n") if x.startswith(b"Content-Length: "))
-        at = end + 4 + length + 4
+        head, upto = b"", at
+        while b"\r\n\r\n" not in head:
+            if upto >= size:
+                raise ValueError("a record's header is cut short")
+            head += _range(source, start + upto, start + min(upto + 4096, size))
+            upto = min(upto + 4096, size)
+        end = head.index(b"\r\n\r\n")
+        length = next((int(x[16:]) for x in head[:end].split(b"\r\n") if x.startswith(b"Content-Length: ")), None)
+        if length is None:
+            raise ValueError("a record without a length")
+        at += end + 4 + length + 4
     return starts
 
 

@@ -9,13 +9,13 @@ def brute(text, items, width=10):
     for item, t in items:
         w = decontam.words((t or "").encode())
         n = min(width, len(w))
-        if item is None or not n:
+        if not n:
             continue
         windows = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
         for k in range(len(found) - n + 1):
             if tuple(found[k : k + n]) in windows:
                 hit.update(range(k, k + n))
-                who.add(str(item))
+                who.update([str(item)] if item is not None else [])
     return len(found), len(hit), sorted(who)
 
 

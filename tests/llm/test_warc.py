@@ -63,3 +63,39 @@ def test_zip_is_standard(zip64):
 
 def test_table_is_written_once(spark):
     assert written(spark.range(3).toDF("k"), "t").count() == 3
+
+
+def test_members_without_an_index_and_broken_ones(tmp_path):
+    """Records are found from their headers; what is cut short is an error, not fewer records."""
+    raw = [warc.record(k, f"u{k}", b"x" * n, warc.digest(b"x" * n), "response", None, k) for k, n in enumerate((0, 5000, 3, 1 << 21))]
+    data = b"".join(raw)
+    starts = warc.boundaries(io.BytesIO(b"before" + data), 6, len(data))
+    assert starts == [sum(map(len, raw[:k])) for k in range(4)]
+    assert list(warc.together(starts, [*starts[1:], len(data)])) == [(0, 2), (3, 3)]
+    with pytest.raises(ValueError):
+        warc.boundaries(io.BytesIO(data[: len(raw[0]) + 20]), 0, len(raw[0]) + 20)
+    out = io.BytesIO()
+    z = warc.Stored(out)
+    z.add("a.warc", data)
+    z.close()
+    whole = out.getvalue()
+    assert [m[:3] for m in warc.directory(io.BytesIO(whole), len(whole))] == [("a.warc", 0, len(data))]
+    for cut in (0, 10, len(whole) - 5, len(whole) // 2):
+        with pytest.raises(ValueError):
+            warc.directory(io.BytesIO(whole[:cut]), cut)
+
+
+def test_reading_without_an_index(spark, tmp_path):
+    raw = [warc.record(k, f"u{k}", b"page%d" % k, warc.digest(b"page%d" % k), "response", None, k) for k in range(30)]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x.warc", b"".join(raw))
+    archives = spark.createDataFrame([("a.zip", (tmp_path / "a.zip").stat().st_size)], "archive string, size long")
+    folder = f"file://{tmp_path}"
+    got = warc.read(warc.members(spark, folder, archives), folder).collect()
+    assert sorted((r.page_id, bytes(r.payload)) for r in got) == [(k, b"page%d" % k) for k in range(30)]
+    broken = bytearray((tmp_path / "a.zip").read_bytes())
+    at = broken.index(b"page7")
+    broken[at : at + 5] = b"PAGE7"
+    (tmp_path / "a.zip").write_bytes(broken)
+    with pytest.raises(Exception, match="broken record in a.zip"):
+        warc.read(warc.members(spark, folder, archives), folder).collect()
