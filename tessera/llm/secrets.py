@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import written
+
 # The base rules. The hexadecimal and access rules have their least length in the
 # pattern, which finds the same spans, as their matches are whole runs.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -67,36 +69,59 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("__base", F.when(any_found, ordered).otherwise(F.array().cast(f"array<{SPAN}>"))).drop("__assign", "__access", "__hex")
 
 
-def samples(docs: DataFrame, train_rows: int = 2000, made: int = 400) -> DataFrame:
+def samples(docs: DataFrame, train_rows: int = 2000, made: int = 1000) -> DataFrame:
     """Labelled samples (token, random): by the base rules and by construction.
 
-    From at most ``train_rows`` documents (those first by a hash of doc_id): what the base rules
-    match is random, and words of letters outside of it are ordinary, alone and joined as
-    identifiers. ``made`` strings of each of three random alphabets are added.
+    From at most ``train_rows`` documents (those first by a hash of doc_id), read once: what the
+    base rules match is random; the distinct words of letters outside of it are ordinary, alone and
+    joined as identifiers (snake, camel and kebab case, paths, with numbers). ``made`` strings of
+    each of three random alphabets are added, and as many ordinary ones of each of these kinds:
+    numbers, dates, times, versions and UUIDs.
     """
     chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).distinct()
     some = base_spans(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi"))
-    secrets = some.select(F.explode(F.transform("__base", lambda s: F.expr("text").substr(s["start"] + 1, s["end"] - s["start"]))).alias("m"))
-    secrets = secrets.select(F.regexp_extract("m", r"([A-Za-z0-9+/_-]+=*)[^A-Za-z0-9]*$", 1).alias("token"))
+    matched = F.transform("__base", lambda s: F.expr("text").substr(s["start"] + 1, s["end"] - s["start"]))
     plain = F.regexp_extract_all(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit(r"[A-Za-z]{4,}"), F.lit(0))
-    words = some.withColumn("words", plain).where(F.size("words") > 1)
-    joined = F.zip_with(
-        "words",
-        F.slice("words", 2, F.size("words")),
-        lambda a, b: F.when(b.isNull(), a).when(F.length(a) % 3 == 0, F.concat_ws("_", a, b)).when(F.length(a) % 3 == 1, F.concat(a, F.initcap(b))).otherwise(F.concat_ws("-", a, b)),
+    some = written(some.select(matched.alias("matched"), plain.alias("words")), "secrets-sample")
+    secrets = some.select(F.explode("matched").alias("m"))
+    secrets = secrets.select(F.regexp_extract("m", r"([A-Za-z0-9+/_-]+=*)[^A-Za-z0-9]*$", 1).alias("token"))
+    number = lambda a, b: (F.length(a) * 37 + F.length(b) * 11).cast("string")
+    forms = (
+        lambda a, b: F.concat_ws("_", a, b),
+        lambda a, b: F.concat(a, F.initcap(b)),
+        lambda a, b: F.concat_ws("-", F.lower(a), F.lower(b)),
+        lambda a, b: F.concat_ws("/", F.lower(a), F.lower(b)),
+        lambda a, b: F.concat(F.upper(a), F.lit("_"), F.upper(b)),
+        lambda a, b: F.concat(a, F.lit("_"), number(a, b)),
+        lambda a, b: F.concat(b, number(a, b)),
+    )
+
+    def form(a, b):
+        kind = F.pmod(F.length(a) * 5 + F.length(b), F.lit(len(forms)))
+        out = F.when(kind == 0, forms[0](a, b))
+        for k, f in enumerate(forms[1:], 1):
+            out = out.when(kind == k, f(a, b))
+        return F.coalesce(out, a)
+
+    joined = F.zip_with("words", F.slice("words", 2, F.size("words")), form)
+    words = some.where(F.size("words") > 1).select(F.explode(F.concat("words", joined)).alias("token")).distinct()
+    seeds = docs.sparkSession.range(made).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    digits = F.regexp_replace("h", "[a-f]", "")
+    moment = F.timestamp_seconds(F.lit(946684800) + F.col("id") * 7654321 % 1000000000)
+    usual = F.array(
+        F.substring(digits, 1, 24),
+        F.date_format(moment, "yyyy-MM-dd"),
+        F.date_format(moment, "yyyyMMddHHmmss"),
+        F.concat_ws("-", F.lit("v"), F.col("id") % 17, F.col("id") % 23, F.col("id") % 7),
+        F.concat_ws("-", *[F.substring("h", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]),
     )
-    ordinary = words.select(F.explode(F.concat("words", joined)).alias("token"))
-    seeds = docs.sparkSession.range(made).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
-    strings = seeds.select(
-        F.explode(
-            F.array(
-                F.substring("h", 1, 40),
-                F.regexp_replace(F.base64(F.unhex("h")), "=", ""),
-                F.translate(F.base64(F.unhex(F.reverse("h"))), "abcdefghijklmnopqrstuvwxyz+/=", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-            )
-        ).alias("token")
+    strings = F.array(
+        F.substring(F.reverse("h"), 1, 40),
+        F.regexp_replace(F.base64(F.unhex("h")), "=", ""),
+        F.translate(F.base64(F.unhex(F.reverse("h"))), "abcdefghijklmnopqrstuvwxyz+/=", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     )
-    return secrets.unionByName(strings).select("token", F.lit(1).alias("random")).unionByName(ordinary.select("token", F.lit(0).alias("random")))
+    ordinary = words.unionByName(seeds.select(F.explode(usual).alias("token")))
+    return secrets.unionByName(seeds.select(F.explode(strings).alias("token"))).select("token", F.lit(1).alias("random")).unionByName(ordinary.select("token", F.lit(0).alias("random")))
 
 
 def code(c: Column) -> Column:
@@ -136,7 +161,7 @@ def ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(pairs(token), F.lit(0.0), lambda a, p: a + F.coalesce(F.get(known, p), F.lit(0.0)))
 
 
-def scan(docs: DataFrame, ratios: list[float], text: str = "text", least: float = 12.0) -> DataFrame:
+def scan(docs: DataFrame, ratios: list[float], text: str = "text", least: float = 24.0) -> DataFrame:
     """Add ``spans``: array of (start, end, kind) of all secrets, by start and kind.
 
     Positions are code points, ends exclusive; ``kind`` counts in ``KINDS``. A token that the models

@@ -54,3 +54,34 @@ def test_overlapping_spans_are_redacted_once(spark):
     docs = spark.createDataFrame([(1, "a token=0123456789abcdef0123456789abcdef b"), (2, None)], "doc_id long, text string")
     out = {r.doc_id: r.text for r in secrets.redacted(secrets.scan(docs, [0.0] * secrets.SIDE**2)).collect()}
     assert out == {1: "a [secret] b", 2: None}
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    """Held-out random strings are found; numbers, dates, UUIDs, paths and identifiers with digits are left alone."""
+    import uuid
+
+    rng = random.Random(11)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    syllables = "ca sto mer re port in voi ce ship ment han dler quest clus ter sto rage ri ver gar den mar ket al to ne sil pro du tion bor tle fen gra hi jo ku lo".split()
+    vocab = ["".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))) for _ in range(1500)]
+    word = lambda: rng.choice(vocab)
+    docs = spark.createDataFrame([(k, " ".join(word() for _ in range(60))) for k in range(200)], "doc_id long, text string")
+    ratios = secrets.train(secrets.samples(docs))
+    kinds = {
+        "base64": lambda: draw(upper + lower + digits + "+/", rng.randint(20, 44)),
+        "letters and digits": lambda: draw(upper + lower + digits, rng.randint(18, 32)),
+        "upper": lambda: draw(upper + digits, 20),
+        "number": lambda: draw(digits, rng.randint(16, 24)),
+        "date": lambda: f"20{rng.randint(10, 29)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}-{rng.randint(10, 59)}-{rng.randint(10, 59)}",
+        "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128))),
+        "path": lambda: f"/{word()}/{word()}/{word()}/v{rng.randint(1, 9)}",
+        "name": lambda: f"{word()}_{word()}_{word()}_{rng.randint(1, 999)}",
+    }
+    secret = {"base64", "letters and digits", "upper"}
+    rows = [(k, kind, f"before {make()} after") for kind, make in kinds.items() for k in range(100)]
+    found = secrets.report(secrets.scan(spark.createDataFrame(rows, "doc_id long, kind string, text string"), ratios), "kind").collect()
+    hit = {kind: sum(r.spans.startswith("markov") or ",markov" in r.spans for r in found if r.kind == kind) for kind in kinds}
+    caught = sum(hit[k] for k in secret)
+    assert caught >= 0.95 * 100 * len(secret), hit
+    assert caught >= 0.95 * sum(hit.values()), hit
