@@ -5,14 +5,16 @@ turns each projection into a key. Every ordering is range-partitioned by key in
 windows of ``window`` rows; a query merges its own window with the two beside it and reranks their
 rows by the measure on the original vectors, in double precision.
 
-What the windows find gives each query a bound: its k-th best so far. Completion then visits the
-other windows of the first ordering, skips those whose centre and radius prove that they hold
-nothing as near, and reranks the rest, so the result has full recall whatever the data. Queries
-are sent to it in blocks of at most ``BLOCK_BYTES``.
+What the windows find gives each query a bound: its k-th best so far. On vectors without structure
+windows of a fixed size find a smaller share the more rows there are, so completion, an option, then
+visits the other windows of the first ordering, skips those whose centre and radius prove that they
+hold nothing as near, and reranks the rest: full recall whatever the data. Queries are sent to it in
+blocks of at most ``BLOCK_BYTES``, a job each.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,8 +67,11 @@ class Curves:
         width = sample.shape[1]
         k = min(dimensions, width)
         self.parts = []
-        for _ in range(orderings):
-            axes = np.linalg.qr(rng.normal(0, 1, (width, k)))[0]
+        each = max(1, width // k)
+        for r in range(orderings):
+            if r % each == 0:  # the orderings of one turn see sides of the vectors at right angles
+                turn = np.linalg.qr(rng.normal(0, 1, (width, width)))[0]
+            axes = turn[:, r % each * k : (r % each + 1) * k]
             seen = sample @ axes
             self.parts.append((axes, seen.mean(axis=0), seen.std(axis=0) + 1e-12, rng.random(k)))
 
@@ -123,9 +128,9 @@ def search(
     vectors: DataFrame,
     every: int = 20,
     k: int = 20,
-    orderings: int = 4,
-    dimensions: int = 6,
-    bits: int = 9,
+    orderings: int = 16,
+    dimensions: int = 8,
+    bits: int = 7,
     window: int = 1024,
     complete: bool = True,
     key: str = "vec_id",
@@ -214,13 +219,16 @@ def search(
     count, width = queries.count(), len(sample[0])
     portions = max(1, -(-count * width * 8 // BLOCK_BYTES))
     every_row = ordered.where("ordering = 0").select("vec_id", "v")
-    done = None
+    answers: list[DataFrame] = []
     for portion in range(portions):
         block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(portions)) == portion).toArrow()
         sent = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), matrix(block["v"].combine_chunks()), block["bound"].to_numpy()))
-        more = every_row.mapInArrow(completion(sent, window), FOUND)
-        done = more if done is None else done.unionByName(more)
-    return ranked(done, k)
+        done = ranked(every_row.mapInArrow(completion(sent, window), FOUND), k)
+        if portions == 1:
+            return done
+        # a query's answer is in one portion; each portion is a job of its own
+        answers.append(written(done, "ann-done"))
+    return functools.reduce(DataFrame.unionByName, answers)
 
 
 def completion(sent, window: int):

@@ -34,6 +34,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM doc d LEFT JOIN cover c USING (uid) LEFT JOIN who h USING (uid)
 """
 
+ORACLES["op5_neighbours"] = r"""
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce(list_transform(range(1, len(q.v) + 1), lambda k: q.v[k] * c.v[k]), lambda a, b: a + b) AS score
+  FROM good q JOIN good c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
 ORACLES["op2_perspectives"] = r"""
 WITH clean AS (
   SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS section, coalesce(turn, 0) AS turn,
