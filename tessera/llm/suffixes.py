@@ -224,15 +224,16 @@ def counts(rows: DataFrame, length: int, block: int) -> DataFrame:
                 s = Segments(texts, length, block)
                 if not len(s.hash):
                     continue
-                order = np.lexsort((s.low, s.hash))
+                order = np.lexsort((s.high, s.low, s.hash))
                 h, low = s.hash[order], s.low[order]
-                start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (low[1:] != low[:-1])]))
+                high = s.high[order]
+                start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
                 times = np.diff(np.concatenate([start, [len(h)]]))
-                yield pa.RecordBatch.from_pydict({"hash": h[start].view(np.int64), "low": low[start].view(np.int64), "times": pa.array(times, pa.int32())})
+                yield pa.RecordBatch.from_pydict({"hash": h[start].view(np.int64), "low": low[start].view(np.int64), "high": high[start].view(np.int64), "times": pa.array(times, pa.int32())})
 
-    seen = rows.select("text").mapInArrow(run, "hash long, low long, times int")
-    total = seen.groupBy("hash").agg(F.sum("times").alias("n"), F.min("low").alias("a"), F.max("low").alias("b"))
-    return total.where("n > 1").select("hash", (F.col("a") == F.col("b")).alias("even"))
+    seen = rows.select("text").mapInArrow(run, "hash long, low long, high long, times int")
+    total = seen.groupBy("hash").agg(F.sum("times").alias("n"), F.min("low").alias("a"), F.max("low").alias("b"), F.min("high").alias("c"), F.max("high").alias("d"))
+    return total.where("n > 1").select("hash", ((F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))).alias("even"))
 
 
 OCCURRENCES = "key long, digest long, first int, end int, hash long, low long, high long, even boolean, anchor int, segment binary"

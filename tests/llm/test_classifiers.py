@@ -124,3 +124,26 @@ def test_windows_cover():
         starts = toxicity.windows(n)
         assert starts[0] == 0 and starts[-1] + toxicity.WINDOW >= n
         assert all(b - a <= toxicity.STRIDE for a, b in zip(starts, starts[1:]))
+
+
+def test_toxicity_is_the_worst_window(spark):
+    """Scores against a plain loop over every window, one at a time."""
+    rng = np.random.default_rng(0)
+    vocab = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(vocab, n)) for n in (0, 1, 5, 47, 48, 49, 72, 73, 200, 1000)] + [None]
+    rows = [(" ".join(rng.choice(vocab, 30)) + (" w7 w7 w7" if y else ""), y) for y in (0, 1) for _ in range(40)]
+    net = toxicity.train([(t.encode(), y) for t, y in rows])
+    want = []
+    for t in texts:
+        words = toxicity.normal((t or "").encode())
+        gates = np.concatenate([np.zeros((1, 2, 3 * toxicity.HIDDEN), np.float32), *([net.gates_of(words)] if words else [])])
+        best = -np.inf
+        for a in toxicity.windows(len(words)):
+            ids = np.zeros((1, toxicity.WINDOW), np.int64)
+            part = np.arange(len(words))[a : a + toxicity.WINDOW] + 1
+            ids[0, : len(part)] = part
+            best = max(best, float(net.forward(gates, ids)[0][0]))
+        want.append(1 / (1 + np.exp(-best)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, net).collect()}
+    assert np.allclose([got[k] for k in range(len(texts))], want, atol=1e-5)
