@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_BYTES = "4m"
 #: Files of a table by cores of the cluster: enough to keep them busy, and no file for each of many small partitions.
 FILES_A_CORE = 4
+#: Partitions of the session's shuffles that one file may hold, unless the table is light.
+PARTITIONS_A_FILE = 4
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -42,9 +44,11 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, light: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
+    A light table, of a few numbers a row, has as many files as the cluster can write at once, a few
+    times over; others have a file for every few partitions at least.
     Spark removes the shuffle files as soon as the table is there; see ``Scratch`` for the table itself.
     """
     spark = bounded(df.sparkSession)
@@ -52,7 +56,10 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+        files = FILES_A_CORE * spark.sparkContext.defaultParallelism
+        if not light:
+            files = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_FILE)
+        df.coalesce(files).write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -241,7 +241,7 @@ def postings(table: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
 def wanted(table: DataFrame, needed: DataFrame, *columns: str) -> DataFrame:
     """One row of ``columns`` for each needed sid; a needed set of checked size is broadcast."""
-    needed = written(needed.select("sid").distinct(), "jaccard-needed")
+    needed = written(needed.select("sid").distinct(), "jaccard-needed", light=True)
     if needed.count() * 40 <= BROADCAST_BYTES:
         needed = F.broadcast(needed)
     return table.select("sid", *columns).join(needed, "sid", "left_semi").groupBy("sid").agg(*[F.first(c).alias(c) for c in columns])
@@ -281,15 +281,15 @@ def components(links: DataFrame) -> DataFrame:
     """(sid, comp): the smallest sid reachable, for every sid in a link. Labels spread and jump until they rest."""
     with Scratch() as s:
         both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-        edges = written(links.select(F.explode(both).alias("e")).select("e.a", "e.b").distinct(), "jaccard-edges")
-        label = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("sid"), F.least("a", "m").alias("comp"), F.col("a").alias("was")), "jaccard-labels")
+        edges = written(links.select(F.explode(both).alias("e")).select("e.a", "e.b").distinct(), "jaccard-edges", light=True)
+        label = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("sid"), F.least("a", "m").alias("comp"), F.col("a").alias("was")), "jaccard-labels", light=True)
         resting = label.isEmpty()
         while not resting:
             now = label.select("sid", "comp")
             spread = edges.join(now, edges.b == now.sid).groupBy("a").agg(F.min("comp").alias("near"))
             moved = now.join(spread, now.sid == spread.a).select("sid", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
             hop = now.select(F.col("sid").alias("via"), F.col("comp").alias("far"))
-            label = written(moved.join(hop, F.col("next") == F.col("via"), "left").select("sid", F.least("next", F.coalesce("far", "next")).alias("comp"), "was"), "jaccard-labels")
+            label = written(moved.join(hop, F.col("next") == F.col("via"), "left").select("sid", F.least("next", F.coalesce("far", "next")).alias("comp"), "was"), "jaccard-labels", light=True)
             resting = label.where("comp <> was").isEmpty()
         return s.keep(label).select("sid", "comp")
 
@@ -307,7 +307,7 @@ def tiles(rows: DataFrame, by: str, weight: Column, most: int) -> DataFrame:
     sums = rows.groupBy(by, "comp").agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
     total = sums.groupBy(by).agg(F.max_by("comp", F.struct("w", "comp")).alias("passive"), F.max("w").alias("w_passive"), (F.sum("w") - F.max("w")).alias("w_active"), F.count("*").alias("comps"))
     size = lambda w: F.greatest(F.ceil(F.col(w) / most), F.lit(1)).cast("int")
-    total = written(total.where("comps > 1").select(by, "passive", size("w_active").alias("actives"), size("w_passive").alias("passives")), "jaccard-dealt")
+    total = written(total.where("comps > 1").select(by, "passive", size("w_active").alias("actives"), size("w_passive").alias("passives")), "jaccard-dealt", light=True)
     one = F.pmod(F.xxhash64("sid", F.lit(by)), F.when(F.col("comp") == F.col("passive"), F.col("passives")).otherwise(F.col("actives"))).cast("int")
     block = F.when(F.col("comp") == F.col("passive"), F.col("actives") + one).otherwise(one)
     tile = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -514,7 +514,7 @@ def crossing(near: DataFrame, label: DataFrame) -> DataFrame:
 def pivots(lists: DataFrame, percent: int) -> DataFrame:
     """One pair (a, b) for each set: with the first set of its list that it shares most lists with."""
     head = lists.groupBy("token", "block").agg(F.min(F.struct("sid", "n")).alias("p"))
-    pairs = lists.join(written(head, "jaccard-heads"), ["token", "block"]).where("sid <> p.sid")
+    pairs = lists.join(written(head, "jaccard-heads", light=True), ["token", "block"]).where("sid <> p.sid")
     low, high = F.least("n", "p.n"), F.greatest("n", "p.n")
     pairs = pairs.where(low * 100 >= high * percent).groupBy(F.col("p.sid").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("times"))
     return pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
@@ -532,7 +532,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         table = all_.keep(written(sets(docs, key, text, width), "jaccard-table"))
         lists = written(postings(table, frequencies(table), percent), "jaccard-postings")
         long_tokens = lists.groupBy("token").agg(F.count("*").alias("size"), F.max("blocks").alias("most")).where((F.col("size") > SHORT) | (F.col("most") > 1))
-        long_tokens = written(long_tokens.select("token"), "jaccard-long")
+        long_tokens = written(long_tokens.select("token"), "jaccard-long", light=True)
         crowded = not long_tokens.isEmpty()
         with Scratch() as s:
             near = short_pairs(lists.join(long_tokens, "token", "left_anti") if crowded else lists, table, percent)
@@ -544,14 +544,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
             sides = near.select("a", "b", "d", F.explode(F.array("a", "b")).alias("sid"))
             nearest = Window.partitionBy("sid").orderBy("d", "a", "b")
             chosen = sides.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= NEAREST).select("a", "b").distinct()
-            done = s.keep(written(verified(table, written(chosen, "jaccard-pairs"), percent), "jaccard-verified"))
+            done = s.keep(written(verified(table, written(chosen, "jaccard-pairs", light=True), percent), "jaccard-verified", light=True))
         label = components(done.where("linked").select("a", "b"))
         # what may still join two components
         with Scratch() as s:
             left = crossing(near, label).select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
             if crowded:
                 left = left.unionByName(may_link(lists, label, table, percent))
-            left = s.keep(written(left, "jaccard-left"))
+            left = s.keep(written(left, "jaccard-left", light=True))
         if not left.isEmpty():
             with Scratch() as s:
                 clusters = components(left).withColumnRenamed("comp", "cluster")
@@ -561,10 +561,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                 over = components(more.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
                 all_sids = label.unionByName(over.select("sid", F.col("sid").alias("comp")).join(label.select("sid"), "sid", "left_anti"))
                 joined = all_sids.join(over.select(F.col("sid").alias("comp"), F.col("comp").alias("least")), "comp", "left")
-                label = s.keep(written(joined.select("sid", F.coalesce("least", "comp").alias("comp")), "jaccard-label"))
+                label = s.keep(written(joined.select("sid", F.coalesce("least", "comp").alias("comp")), "jaccard-label", light=True))
         own = table.where("sid is not null").groupBy("sid").agg(F.min("key").alias("least"))
-        joined = written(own.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-own")
-        roots = written(joined.groupBy("comp").agg(F.min("least").alias("root")), "jaccard-roots")
-        final = all_.keep(written(joined.join(roots, "comp").select("sid", "root"), "jaccard-final"))
+        joined = written(own.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-own", light=True)
+        roots = written(joined.groupBy("comp").agg(F.min("least").alias("root")), "jaccard-roots", light=True)
+        final = all_.keep(written(joined.join(roots, "comp").select("sid", "root"), "jaccard-final", light=True))
     rows = table.select("key", "n", "sid").join(final, "sid", "left")
     return rows.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("key")).otherwise(F.col("root")).alias("component_id"))
