@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.config import MOST_K, TOP_K, Settings
 from tessera.ingest import Pipeline
 from tessera.operators import search, stats
-from tessera.operators.embed import Embedder, HashEmbedder
+from tessera.operators.embed import Embedder, from_settings
 from tessera.sources import files
 from tessera.store import Store
 
@@ -54,9 +54,15 @@ def rotating_log(path: str, level: str = "INFO", most_bytes: int = 10 << 20, bac
 class Engine:
     """A store with its ingestion and queries."""
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, embedder: Embedder | None = None):
-        self.spark, self.folder = spark, folder
-        self.settings, self.embedder = settings or Settings(), embedder or HashEmbedder()
+    def __init__(self, spark: SparkSession, folder: str | None = None, settings: Settings | None = None, embedder: Embedder | None = None, log_file: str | None = None):
+        self.settings = settings or Settings()
+        self.spark, self.folder = spark, folder or self.settings.persist_dir
+        folder = self.folder
+        self.embedder = embedder or from_settings(self.settings)
+        if log_file:
+            rotating_log(log_file)
+        for name, level in self.settings.log_levels.items():
+            logging.getLogger(name).setLevel(level.upper())
         self.store = Store(spark, folder)
         self.pipeline = Pipeline(spark, self.store, self.settings, self.embedder)
         self.last: dict | None = None
@@ -114,10 +120,12 @@ class Engine:
     def clear_database(self, confirm: bool = False) -> dict:
         if not confirm:
             return {"status": "rejected", "message": "confirm must be true"}
-        return {"status": "ok", "documents_removed": self.store.registry.clear(), "chunks_removed": self.store.chunks.clear()}
+        documents, chunks = self.store.clear()
+        return {"status": "ok", "documents_removed": documents, "chunks_removed": chunks}
 
     def search(self, question: str, top_k: int | None = None, filters: dict | None = None) -> DataFrame:
-        """The ranked chunks of a question as a frame."""
+        """The ranked chunks of a question as a frame; the question is embedded by the model of the store, or refused."""
+        self.store.check_model(self.embedder)
         return search.top_k(self.store.chunks.read(), self.embedder.embed([question])[0], top_k, filters)
 
     @tool

@@ -12,13 +12,14 @@ DOCUMENT = (".md", ".txt", ".rst", ".pdf", ".docx", ".pptx", ".epub", ".ipynb",
 EXCLUDED_SUFFIXES = (".bin", ".exe", ".dll", ".obj", ".pdb")
 EXCLUDED_DIRS = (
     "node_modules", ".git", ".svn", ".hg", "bin", "obj", "dist", "build", ".vs", ".idea", "__pycache__", ".mypy_cache",
-    ".pytest_cache", "venv", ".venv", ".github", ".vscode", "Debug", "Release",
+    ".pytest_cache", "venv", ".venv", ".github", ".vscode", "Debug", "Release", ".grepai",
 )
 INDEXERS = {"dotnet": "scip-dotnet", "python": "scip-python", "java": "scip-java", "typescript": "scip-typescript", "javascript": "scip-typescript"}
 MAX_FILE_BYTES = 10 * 1024 * 1024
 TOP_K, MOST_K = 6, 20
 
 
+# Defaults of the settings below that must match: sizes, ratio, thresholds, server and model.
 @dataclass
 class Settings:
     """All knobs. A key of the YAML file overrides its default; a bad file or key leaves the default."""
@@ -30,6 +31,8 @@ class Settings:
     exclude_dirs: tuple[str, ...] = EXCLUDED_DIRS
     scip_indexers: dict[str, str] = field(default_factory=lambda: dict(INDEXERS))
     persist_dir: str = "data/tessera"
+    #: "hashed" (offline) or "server"; a YAML file that names a server or its model means "server".
+    embedder: str = "hashed"
     ollama_base_url: str = "http://localhost:11434"
     ollama_embedding_model: str = "nomic-embed-text"
     chunk_size: int = 512
@@ -40,6 +43,7 @@ class Settings:
     embed_builder_debug: bool = False
     embed_builder_debug_output_dir: str = "logs/EmbedBuilder"
     log_level: str = "INFO"
+    log_levels: dict[str, str] = field(default_factory=dict)
 
     @property
     def chunk_overlap(self) -> int:
@@ -60,8 +64,19 @@ def load(path: str | None = None) -> Settings:
         found = yaml.safe_load(Path(path).read_text("utf-8")) or {}
     except Exception:  # an unreadable file means the defaults, as documented
         return settings
+    if not isinstance(found, dict):
+        return settings
+    # keys of other stores and loggers: *_persist_dir names the folder, *_log_level the level of a logger
+    for key, value in found.items():
+        if isinstance(key, str) and isinstance(value, str):
+            if key.endswith("_persist_dir"):
+                found = {"persist_dir": value, **found}
+            elif key.endswith("_log_level"):
+                settings.log_levels[key.removesuffix("_log_level")] = value
+    if {"ollama_base_url", "ollama_embedding_model"} & set(found):
+        found = {"embedder": "server", **found}
     for f in fields(Settings):
-        value = found.get(f.name) if isinstance(found, dict) else None
+        value = found.get(f.name)
         if value is None:
             continue
         old = getattr(settings, f.name)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
 import logging
-import math
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +13,15 @@ from tessera.config import Settings
 from tessera.functions import headers
 from tessera.functions import text as X
 from tessera.operators import chunking, embed, graph
-from tessera.operators.ordering import numbered
 from tessera.sources import files, symbols
-from tessera.store import Store, chunk_id
+from tessera.store import Store, chunk_id, export_html
 
 log = logging.getLogger(__name__)
 
 
-def prepared(spark: SparkSession, found: DataFrame, settings: Settings, embedder: embed.Embedder, indexes: list[str] | None = None) -> DataFrame:
-    """Files to finished chunk rows: one lazy plan."""
-    chunks = chunking.chunk_files(found, settings).withColumn("id", chunk_id())
+def prepared(spark: SparkSession, chunks: DataFrame, settings: Settings, embedder: embed.Embedder, indexes: list[str] | None = None) -> DataFrame:
+    """Chunks to finished chunk rows: one lazy plan."""
+    chunks = chunks.withColumn("id", chunk_id())
     if indexes:
         declared, seen = symbols.read(spark, indexes)
         chunks = graph.enriched(chunks, declared, symbols.spans(seen))
@@ -35,57 +34,73 @@ class Pipeline:
 
     def __init__(self, spark: SparkSession, store: Store, settings: Settings | None = None, embedder: embed.Embedder | None = None):
         self.spark, self.store = spark, store
-        self.settings, self.embedder = settings or Settings(), embedder or embed.HashEmbedder()
+        self.settings = settings or Settings()
+        self.embedder = embedder or embed.from_settings(self.settings)
 
     def ingest_batch(self, found: DataFrame, indexes: list[str] | None) -> dict:
-        """Chunk and save some files; the store's replace makes stale chunks go in the same commit."""
-        chunks = prepared(self.spark, found, self.settings, self.embedder, indexes).persist()
+        """Chunk and save some files in one commit, which makes their stale chunks go.
+
+        A file that cannot be chunked is reported in ``errors`` and keeps no chunks; the others go on.
+        """
+        self.store.check_model(self.embedder, record=True)
+        found = found.persist()
         try:
-            listed = found.select("file_path", "file_name", "length", X.content_hash(F.col("content")).alias("file_hash"))
-            self.store.save(chunks, listed)
-            totals = chunks.agg(F.count("*").alias("n"), F.count("symbol").alias("s")).first()
-            return {"chunks_created": totals.n, "scip_enriched": totals.s}
+            made = chunking.chunk_files(found, self.settings).persist()
+            try:
+                errors = [f"Error on {r.file_path}: {r.error}" for r in made.where("error is not null").select("file_path", "error").orderBy("file_path").collect()]
+                chunks = prepared(self.spark, made.where("error is null").drop("error"), self.settings, self.embedder, indexes)
+                bad = made.where("error is not null").select("file_path")
+                listed = found.join(bad, "file_path", "left_anti").select("file_path", "file_name", "length", X.content_hash(F.col("content")).alias("file_hash"))
+                saved = self.store.save(chunks, listed)
+                live = self.store.chunks.read().join(listed.select("file_path"), "file_path", "left_semi")
+                if self.settings.embed_builder_debug:
+                    export_html(live, self.settings.embed_builder_debug_output_dir)
+                enriched = live.agg(F.count("symbol")).first()[0] if indexes else 0
+                if errors:
+                    log.error("%d files failed", len(errors))
+                return {"files": listed.count(), "chunks_created": saved, "scip_enriched": enriched, "errors": errors}
+            finally:
+                made.unpersist()
         finally:
-            chunks.unpersist()
+            found.unpersist()
 
     def ingest_directory(self, root: str, include: list[str] | None = None, exclude: list[str] | None = None, purge: bool = False) -> dict:
         """Files in order of lower path, ``ingest_batch_size`` at a time. A failing batch ends the run with status "partial".
 
-        With ``purge`` registered files under ``root`` that are gone from the scan are removed.
+        The directory is listed once and each file is read once, by its batch. Files that are gone or
+        cannot be read or chunked are errors of their batch, which goes on. With ``purge`` registered
+        files under ``root`` that are gone from the scan are removed.
         """
         began = time.time()
         size = self.settings.ingest_batch_size
         listing = files.scan(self.spark, root, self.settings, include, exclude, content=False).persist()
         try:
-            total = listing.count()
             by = {name: {r[0]: r["count"] for r in listing.groupBy(name).count().collect() if r[0]} for name in ("parser", "language")}
             report = {"status": "ok", "files_processed": 0, "chunks_created": 0, "scip_enriched": 0, "errors": [], "batches": [], "batches_completed": 0, "batches_failed": 0}
             indexes = files.symbol_indexes(self.spark, root)
-            batches = math.ceil(total / size)
-            # bounds of each batch in the sorted listing
-            cuts = [] if batches < 2 else self._cuts(listing.select("file_path", F.lower("file_path").alias("p")), size)
-            for k in range(batches):
+            paths = (r.path for r in files.ordered(listing).select("path").toLocalIterator())
+            k = 0
+            while some := list(itertools.islice(paths, size)):
                 try:
-                    found = files.scan(self.spark, root, self.settings, include, exclude)
-                    found = found.where(self._between(cuts, k))
-                    n = found.select("file_path").count()
-                    done = self.ingest_batch(found, indexes)
-                    report["batches"].append({"batch_index": k, "files_processed": n, "chunks_created": done["chunks_created"], "errors": []})
+                    done = self.ingest_batch(files.load(self.spark, some, self.settings), indexes)
+                    lost = done["errors"] + self._unread(some, done)
+                    report["batches"].append({"batch_index": k, "files_processed": done["files"], "chunks_created": done["chunks_created"], "errors": lost})
                     report["batches_completed"] += 1
-                    report["files_processed"] += n
+                    report["files_processed"] += done["files"]
                     report["chunks_created"] += done["chunks_created"]
                     report["scip_enriched"] += done["scip_enriched"]
+                    report["errors"] += lost
                 except Exception as error:
                     log.exception("batch %d failed", k)
                     report["batches"].append({"batch_index": k, "error": str(error)})
                     report["batches_failed"] += 1
                     report["status"] = "partial"
                     break
+                k += 1
             if purge and report["status"] == "ok":
                 base = root.removeprefix("file://").rstrip("/") + "/"
                 gone = self.store.registry.read().where(F.col("file_path").startswith(base)).join(listing.select("file_path"), "file_path", "left_anti").select("file_path")
-                self.store.chunks.delete(gone)
-                self.store.registry.delete(gone)
+                self.store.delete(gone)
         finally:
             listing.unpersist()
         elapsed = time.time() - began
@@ -97,18 +112,14 @@ class Pipeline:
         }
         return report | {"total_files": report["files_processed"], "total_chunks": report["chunks_created"]}
 
-    @staticmethod
-    def _cuts(listing: DataFrame, size: int) -> list[tuple[str, str]]:
-        """The last (lower path, path) of each full batch: one row a batch reaches the driver."""
-        ends = numbered(listing, ["p", "file_path"], "at").where(F.col("at") % size == 0)
-        return [(r.p, r.file_path) for r in ends.orderBy("at").select("p", "file_path").collect()]
-
-    @staticmethod
-    def _between(cuts: list[tuple[str, str]], k: int):
-        place = F.struct(F.lower("file_path"), F.col("file_path"))
-        at = lambda c: F.struct(F.lit(c[0]), F.lit(c[1]))
-        low = place > at(cuts[k - 1]) if k and cuts else F.lit(True)
-        return low & (place <= at(cuts[k])) if k < len(cuts) else low
+    def _unread(self, paths: list[str], done: dict) -> list[str]:
+        """Errors for files of a batch that the reader skipped, as they were gone or unreadable by then."""
+        if done["files"] + len(done["errors"]) == len(paths):
+            return []
+        plain = self.spark.createDataFrame([(p,) for p in paths], "path string").select(files.plain_path(F.col("path")).alias("file_path"))
+        known = {e.split(": ")[0] for e in done["errors"]}
+        lost = [r.file_path for r in plain.join(self.store.registry.live().select("file_path"), "file_path", "left_anti").orderBy("file_path").collect()]
+        return [f"Error on {p}: cannot be read" for p in lost if f"Error on {p}" not in known]
 
     def ingest_file(self, path: str) -> dict:
         """One file; its symbol index is looked up from its folder."""

@@ -14,7 +14,7 @@ from tessera.operators import code, markdown, structured
 from tessera.schema import CHUNK_META, conform
 from tessera.sources import converters, files
 
-_OUT = T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("text", T.StringType()), *CHUNK_META.fields])
+_OUT = T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("text", T.StringType()), *CHUNK_META.fields, T.StructField("error", T.StringType())])
 
 
 def parsed(kind: str, suffix: str, content: str, language: str | None, capacity: int, overlap: int, splitter: code.Splitter = code.structural) -> list[dict]:
@@ -32,8 +32,9 @@ def parsed(kind: str, suffix: str, content: str, language: str | None, capacity:
 def chunk_files(found: DataFrame, settings: Settings | None = None, splitter: code.Splitter = code.structural) -> DataFrame:
     """Chunks (ordinal, text, metadata) of scanned files; one pass over each kind, no shuffle.
 
-    Plain documents and those a converter turns into Markdown are chunked natively; documents
-    without a converter fall back to sentences, as do unknown files.
+    Plain documents and those a converter turns into Markdown are chunked natively; other text
+    documents fall back to sentences, as do unknown files. A file that cannot be chunked, or is
+    binary and cannot be converted, gives one row with ``error`` instead of chunks.
     """
     settings = settings or Settings()
     capacity, overlap = settings.chunk_size, settings.chunk_overlap
@@ -61,8 +62,14 @@ def chunk_files(found: DataFrame, settings: Settings | None = None, splitter: co
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                for k, chunk in enumerate(parsed(r.parser, r.suffix, r.text or "", r.language, capacity, overlap, splitter)):
-                    rows.append({**chunk, "ordinal": k, "file_path": r.file_path, "file_name": r.file_name})
+                own = {"file_path": r.file_path, "file_name": r.file_name}
+                try:
+                    if r.parser == "document" and r.suffix in converters.BINARY:
+                        raise ValueError(f"cannot be converted: {r.suffix}")
+                    found = parsed(r.parser, r.suffix, r.text or "", r.language, capacity, overlap, splitter)
+                    rows += [{**chunk, **own, "ordinal": k} for k, chunk in enumerate(found)]
+                except Exception as problem:  # one file must not end the batch
+                    rows.append({**own, "error": str(problem) or type(problem).__name__})
             if rows:
                 yield pd.DataFrame(rows).reindex(columns=_OUT.names).astype(object).where(lambda x: x.notna(), None)
 

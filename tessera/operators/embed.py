@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import logging
 import math
 import re
-import urllib.request
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 from typing import Protocol
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.config import Settings
+
 log = logging.getLogger(__name__)
 
 
@@ -48,22 +51,58 @@ class HashEmbedder:
 
 
 class HttpEmbedder:
-    """An embedding server with an ``/api/embed`` route; the client is made once a worker."""
-
-    def __init__(self, base_url: str, model: str, dimensions: int, timeout: float = 120):
-        self.base_url, self.model_id, self.dimensions, self.timeout = base_url.rstrip("/"), model, dimensions, timeout
+    """An embedding server with an ``/api/embed`` route. A connection is kept open while the server allows it.
+
+    Without ``dimensions`` the server is asked once, on first use.
+    """
+
+    def __init__(self, base_url: str, model: str, dimensions: int | None = None, timeout: float = 120):
+        self.base_url, self.model_id, self.timeout, self._dimensions = base_url.rstrip("/"), model, timeout, dimensions
+        self._open = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_open": None}
+
+    @property
+    def dimensions(self) -> int:
+        if self._dimensions is None:
+            self._dimensions = len(self.embed(["dimensions"])[0])
+        return self._dimensions
+
+    def _answer(self, body: bytes) -> dict:
+        at = urllib.parse.urlsplit(self.base_url)
+        for fresh in (False, True):
+            if self._open is None or fresh:
+                kind = http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection
+                self._open = kind(at.netloc, timeout=self.timeout)
+            try:
+                self._open.request("POST", f"{at.path}/api/embed", body, {"Content-Type": "application/json"})
+                answer = self._open.getresponse()
+                said = answer.read()
+                break
+            except (http.client.HTTPException, ConnectionError):  # the server closed a kept connection
+                if fresh:
+                    raise
+        if answer.status != 200:
+            raise OSError(f"status {answer.status}: {said[:200]!r}")
+        return json.loads(said)
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         body = json.dumps({"model": self.model_id, "input": texts}).encode()
-        request = urllib.request.Request(f"{self.base_url}/api/embed", body, {"Content-Type": "application/json"})
         try:
-            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-                return json.load(answer)["embeddings"]
+            return self._answer(body)["embeddings"]
         except Exception:
             log.error("embedding of %d texts failed at %s with model %s", len(texts), self.base_url, self.model_id)
             raise
 
 
+def from_settings(settings: Settings) -> Embedder:
+    """The embedder that the settings name: the server, or the offline one."""
+    if settings.embedder == "server":
+        return HttpEmbedder(settings.ollama_base_url, settings.ollama_embedding_model)
+    return HashEmbedder()
+
+
 def embedded(df: DataFrame, embedder: Embedder, text: str = "document", out: str = "embedding", batch: int = 50) -> DataFrame:
     """Add ``out`` by batches of ``batch`` texts, in Arrow batches on the executors."""
 

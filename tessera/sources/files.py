@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,10 +61,33 @@ def scan(
     kept, left_out = wanted_suffixes(settings, include, exclude)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length").between(1, MAX_FILE_BYTES))
     named = _in_tree(found, root, kept, left_out, settings.exclude_dirs)
-    columns = ["file_path", base_name(F.col("file_path")).alias("file_name"), suffix(F.col("file_path")).alias("suffix"), "length"]
+    columns = ["path", "file_path", base_name(F.col("file_path")).alias("file_name"), suffix(F.col("file_path")).alias("suffix"), "length"]
     return classified(named.select(*columns, *(["content"] if content else [])), settings)
 
 
+def load(spark: SparkSession, paths: list[str], settings: Settings | None = None) -> DataFrame:
+    """Named files as ``scan`` gives them, without a listing of their folders. Those that are gone or unreadable by then are skipped."""
+    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
+    there = [p for p in paths if _exists(spark, p)]
+    if not there:
+        found = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    else:
+        found = reader.load([_literal(p) for p in there])
+    found = found.withColumn("file_path", plain_path(F.col("path")))
+    named = found.select("path", "file_path", base_name(F.col("file_path")).alias("file_name"), suffix(F.col("file_path")).alias("suffix"), "length", "content")
+    return classified(named, settings or Settings())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _literal(path: str) -> str:
+    """A path whose characters with a meaning in globs stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def ordered(files: DataFrame) -> DataFrame:
     return files.orderBy(F.lower("file_path"))
 

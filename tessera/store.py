@@ -1,12 +1,17 @@
-"""The chunk and registry tables on disk: Parquet, partitioned by a hash bucket of the file path.
-
-A change rewrites only the buckets that its files fall in, by dynamic partition overwrite, so a
-replace is one atomic commit a bucket. New rows are staged beside the table first, as a table
-cannot be read while it is overwritten.
+"""The chunk and registry tables on disk: append-only Parquet, with the registry as the commit log.
+
+Every change is one version. Its chunk rows are written first, under ``chunks/version=V``; then its
+registry rows, one for each file that was put or removed, are staged and renamed to
+``registry/version=V``. That rename is the only commit: a file's live chunks are those of its last
+version in the registry, so a run that dies in between leaves rows that nobody reads, and readers
+see a change whole or not at all. A change writes what it brings and rewrites nothing; ``compact``
+drops what is no longer live. One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from pathlib import Path
 
@@ -17,11 +22,8 @@ from pyspark.sql import types as T
 from tessera.functions import text as X
 from tessera.schema import CHUNK, REGISTRY, conform
 
-BUCKETS = 64
-
-
-def bucket(path="file_path"):
-    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+_VERSION = T.StructField("version", T.LongType())
+_GONE = T.StructField("gone", T.BooleanType())
 
 
 def chunk_id(path="file_path", ordinal="ordinal", text="text"):
@@ -29,96 +31,96 @@ def chunk_id(path="file_path", ordinal="ordinal", text="text"):
     return F.sha2(F.concat_ws("\x1f", F.col(path), F.col(ordinal).cast("string"), F.col(text)), 256)
 
 
-class Table:
-    """A keyed Parquet table; ``owner`` is the column that rows are replaced by."""
+class ModelMismatch(ValueError):
+    """The store's vectors come from another model than the one at hand."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, owner: str = "file_path"):
-        self.spark, self.path, self.schema, self.owner = spark, path.rstrip("/"), schema, owner
 
-    def _fs(self, path: str | None = None):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path or self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+class Registry:
+    """The commit log: file_path, what is registered of it, its version."""
 
-    def exists(self) -> bool:
-        fs, p = self._fs()
-        return fs.exists(p)
+    def __init__(self, store: Store):
+        self.store, self.path = store, f"{store.folder}/registry"
+
+    def log(self) -> DataFrame:
+        if not self.store.exists(self.path):
+            return self.store.spark.createDataFrame([], T.StructType([*REGISTRY.fields, _GONE, _VERSION]))
+        return self.store.spark.read.schema(T.StructType([*REGISTRY.fields, _GONE, _VERSION])).parquet(self.path)
+
+    def live(self) -> DataFrame:
+        """The last row of each file, with its version; removed files are left out."""
+        last = F.max_by(F.struct(*[f.name for f in REGISTRY.fields], "gone", "version"), "version").alias("last")
+        return self.log().groupBy("file_path").agg(last).select("last.*").where("not gone").drop("gone")
 
     def read(self) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], self.schema)
-        full = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
-        return self.spark.read.schema(full).parquet(self.path).drop("bucket")
-
-    def _rewrite(self, rows: DataFrame) -> None:
-        """Overwrite the buckets that ``rows`` (with a bucket column) name; a bucket without rows is emptied by its marker."""
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
-
-    def _staged(self, rows: DataFrame) -> tuple[DataFrame, str]:
-        path = f"{self.path}.staging-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path), path
-
-    def append(self, rows: DataFrame) -> None:
-        conform(rows, self.schema).withColumn("bucket", bucket(self.owner)).write.mode("append").partitionBy("bucket").parquet(self.path)
-
-    def replace(self, rows: DataFrame, owners: DataFrame | None = None) -> None:
-        """All rows of the owners (those of ``rows``, and more if given) become ``rows``."""
-        new, staging = self._staged(conform(rows, self.schema))
-        touched = new.select(self.owner)
-        if owners is not None:
-            touched = touched.unionByName(owners.select(self.owner))
-        touched = touched.distinct()
-        if self.exists():
-            buckets = [r[0] for r in touched.select(bucket(self.owner)).distinct().collect()]  # at most BUCKETS
-            old = self.read().where(bucket(self.owner).isin(buckets)).join(touched, self.owner, "left_anti")
-            kept, second = self._staged(old.unionByName(new).withColumn("bucket", bucket(self.owner)))
-            left = {r[0] for r in kept.select("bucket").distinct().collect()}
-            self._rewrite(kept)
-            self._drop_buckets(set(buckets) - left)
-            self._delete(second)
-        else:
-            self._rewrite(new.withColumn("bucket", bucket(self.owner)))
-        self._delete(staging)
-
-    def delete(self, owners: DataFrame) -> int:
-        """Remove the owners' rows; how many there were."""
-        n = self.read().join(owners.select(self.owner).distinct(), self.owner, "left_semi").count()
-        if n:
-            self.replace(self.spark.createDataFrame([], self.schema), owners)
-        return n
+        return self.live().drop("version")
 
-    def _drop_buckets(self, buckets: set[int]) -> None:
-        for b in buckets:
-            self._delete(f"{self.path}/bucket={b}")
+    def count(self) -> int:
+        return self.live().count()
 
-    def _delete(self, path: str) -> None:
-        fs, p = self._fs(path)
-        fs.delete(p, True)
 
-    def clear(self) -> int:
-        n = self.count()
-        self._delete(self.path)
-        return n
+class Chunks:
+    """The chunks of live versions."""
+
+    def __init__(self, store: Store):
+        self.store, self.path = store, f"{store.folder}/chunks"
+
+    def all(self) -> DataFrame:
+        if not self.store.exists(self.path):
+            return self.store.spark.createDataFrame([], T.StructType([*CHUNK.fields, _VERSION]))
+        return self.store.spark.read.schema(T.StructType([*CHUNK.fields, _VERSION])).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        live = self.store.registry.live().select("file_path", "version")
+        return self.all().join(live, ["file_path", "version"], "left_semi").select(*[f.name for f in CHUNK.fields])
 
     def count(self) -> int:
-        return self.read().count()
+        """From the registry alone."""
+        return self.store.registry.live().agg(F.sum("chunk_count")).first()[0] or 0
 
 
 class Store:
     """Chunks and registry of one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self.chunks = Table(spark, f"{folder}/chunks", CHUNK)
-        self.registry = Table(spark, f"{folder}/registry", REGISTRY)
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.registry, self.chunks = Registry(self), Chunks(self)
 
-    def registered(self, paths: DataFrame) -> DataFrame:
-        return paths.join(self.registry.read().select("file_path"), "file_path", "left_semi")
+    # ------------------------------------------------------------ files
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def exists(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return fs.exists(p)
 
-    def save(self, chunks: DataFrame, files: DataFrame) -> None:
-        """Replace the chunks and registry rows of ``files`` (file_path, file_name, length, file_hash)."""
-        counts = chunks.groupBy("file_path").agg(F.count("*").cast("int").alias("chunk_count"))
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+    def _commit(self, rows: DataFrame, version: int) -> None:
+        """Stage the registry rows, then rename them into the log."""
+        staging = f"{self.folder}/.staging-{uuid.uuid4().hex}"
+        rows.write.parquet(staging)
+        fs, source = self._fs(staging)
+        _, parent = self._fs(self.registry.path)
+        fs.mkdirs(parent)
+        if not fs.rename(source, self._fs(f"{self.registry.path}/version={version}")[1]):
+            raise OSError(f"cannot commit version {version}")
+
+    # ------------------------------------------------------------ changes
+
+    def registered(self, paths: DataFrame) -> DataFrame:
+        return paths.join(self.registry.live().select("file_path"), "file_path", "left_semi")
+
+    def save(self, chunks: DataFrame, files: DataFrame) -> int:
+        """Replace the chunks and registry rows of ``files`` (file_path, file_name, length, file_hash); how many chunks there are now."""
+        version = time.time_ns()
+        where = f"{self.chunks.path}/version={version}"
+        conform(chunks, CHUNK).write.parquet(where)
+        made = self.spark.read.schema(CHUNK).parquet(where)
+        counts = made.groupBy("file_path").agg(F.count("*").cast("int").alias("chunk_count"))
         rows = files.join(counts, "file_path", "left").select(
             X.path_id(F.col("file_path")).alias("doc_id"),
             "file_path",
@@ -128,13 +130,57 @@ class Store:
             F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"),
             "file_hash",
         )
-        self.chunks.replace(chunks, files)
-        self.registry.replace(rows)
+        self._commit(conform(rows, REGISTRY).withColumn("gone", F.lit(False)), version)
+        return made.count()
+
+    def delete(self, paths: DataFrame) -> tuple[int, int]:
+        """Remove files (file_path); how many were registered and how many chunks they had."""
+        gone = self.registry.live().join(paths.select("file_path").distinct(), "file_path", "left_semi")
+        n, chunks = gone.agg(F.count("*"), F.coalesce(F.sum("chunk_count"), F.lit(0))).first()
+        if n:
+            self._commit(gone.select(*[f.name for f in REGISTRY.fields]).withColumn("gone", F.lit(True)), time.time_ns())
+        return n, chunks
 
     def remove(self, path: str) -> tuple[bool, int]:
-        one = self.spark.createDataFrame([(path,)], "file_path string")
-        known = self.registry.delete(one) > 0
-        return known, self.chunks.delete(one)
+        n, chunks = self.delete(self.spark.createDataFrame([(path,)], "file_path string"))
+        return n > 0, chunks
+
+    def clear(self) -> tuple[int, int]:
+        """Remove everything; how many files and chunks there were."""
+        before = self.registry.count(), self.chunks.count()
+        for path in (self.registry.path, self.chunks.path, f"{self.folder}/model.json"):
+            self._delete(path)
+        return before
+
+    def compact(self) -> None:
+        """Rewrite the live rows as one version and drop the others. Readers of before keep their files until the end."""
+        old = [r.version for r in self.registry.log().select("version").distinct().collect()]
+        stale = [r.version for r in self.chunks.all().select("version").distinct().collect()]
+        files = self.registry.read()
+        version = time.time_ns()
+        self.chunks.read().write.parquet(f"{self.chunks.path}/version={version}")
+        self._commit(files.withColumn("gone", F.lit(False)), version)
+        for v in old:
+            self._delete(f"{self.registry.path}/version={v}")
+        for v in stale:
+            self._delete(f"{self.chunks.path}/version={v}")
+
+    # ------------------------------------------------------------ the model
+
+    def check_model(self, embedder, record: bool = False) -> None:
+        """Raise ``ModelMismatch`` unless the store's vectors are of this model; ``record`` it if none is known yet."""
+        fs, path = self._fs(f"{self.folder}/model.json")
+        if fs.exists(path):
+            with_stream = fs.open(path)
+            known = json.loads(bytes(with_stream.readAllBytes()).decode())
+            with_stream.close()
+            now = {"model_id": embedder.model_id, "dimensions": embedder.dimensions}
+            if known != now:
+                raise ModelMismatch(f"the store was made with {known}, not {now}")
+        elif record:
+            out = fs.create(path, True)
+            out.write(bytearray(json.dumps({"model_id": embedder.model_id, "dimensions": embedder.dimensions}).encode()))
+            out.close()
 
 
 def export_html(chunks: DataFrame, folder: str) -> list[str]:

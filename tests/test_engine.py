@@ -115,3 +115,130 @@ def test_settings(tmp_path):
     s = config.load(str(tmp_path / "c.yaml"))
     assert (s.chunk_size, s.exclude_dirs, s.ingest_batch_size, s.chunk_overlap) == (256, ("x",), 100, 51)
     assert config.load(str(tmp_path / "no.yaml")) == config.Settings()
+
+
+def office(kind):
+    """Small files of each ZIP-packaged kind."""
+    import io
+    import zipfile
+
+    members = {
+        ".docx": {"word/document.xml": '<w:document xmlns:w="w"><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>some </w:t></w:r><w:r><w:t>words</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl></w:body></w:document>'},
+        ".pptx": {f"ppt/slides/slide{k}.xml": f'<p:sld xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>point {k}</a:t></a:r></a:p></p:sld>' for k in (10, 2)},
+        ".xlsx": {"xl/workbook.xml": '<workbook><sheets><sheet name="Data"/></sheets></workbook>', "xl/sharedStrings.xml": "<sst><si><t>head</t></si></sst>", "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>7</v></c></row><row><c r="B2"><v>8</v></c></row></sheetData></worksheet>'},
+        ".epub": {"OPS/c1.xhtml": '<html xmlns="h"><body><h1>One</h1><p>text <i>here</i></p></body></html>'},
+    }[kind]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in members.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_converters():
+    from tessera.sources import converters
+
+    assert converters.convert(".docx", office(".docx")) == "## Title\n\nsome words\n\n| a |  |\n| --- | --- |"
+    assert converters.convert(".pptx", office(".pptx")) == "# Slide 1\n\npoint 2\n\n# Slide 2\n\npoint 10"
+    assert converters.convert(".xlsx", office(".xlsx")) == "## Data\n\n| head |  | 7 |\n| --- | --- | --- |\n|  | 8 |  |"
+    assert converters.convert(".epub", office(".epub")) == "# One\n\ntext here"
+    assert converters.convert(".docx", b"no archive") is None
+
+
+def test_errors_of_single_files(spark, tree, tmp_path):
+    """A file that cannot be converted, and one that is gone by the time of its batch, are reported; the others are stored."""
+    (tree / "scan.pdf").write_bytes(b"%PDF-1.4 \x00\xff")
+    (tree / "text.docx").write_bytes(office(".docx"))
+    (tree / "odd [name]*.txt").write_text("kept words")
+    engine = Engine(spark, str(tmp_path / "db"), config.Settings(ingest_batch_size=4, embed_builder_debug=True, embed_builder_debug_output_dir=str(tmp_path / "debug")))
+    real, gone = files.load, tree / "doc.xml"
+
+    def load(session, paths, settings=None):
+        gone.unlink(missing_ok=True)
+        return real(session, paths, settings)
+
+    files.load = load
+    try:
+        report = engine.index_directory(str(tree))
+    finally:
+        files.load = real
+    assert report["status"] == "ok" and report["files_processed"] == 8
+    assert sorted(e.split(": ", 1)[1] for e in report["errors"]) == ["cannot be converted: .pdf", "cannot be read"]
+    assert report["errors"] == [e for b in report["batches"] for e in b["errors"]]
+    stored = {r.file_name: r for r in engine.store.chunks.read().collect()}
+    assert stored["text.docx"].markitdown_converted and stored["text.docx"].original_doc_type == "docx" and "odd [name]*.txt" in stored
+    assert "scan.pdf" not in stored and "doc.xml" not in stored
+    assert (tmp_path / "debug" / "a.py.html").read_text().startswith("<html>")
+
+
+def test_store_versions(spark, tree, tmp_path):
+    """A change appends; what has no registry row is not read; compaction keeps the live rows."""
+    engine = Engine(spark, str(tmp_path / "db"))
+    engine.index_directory(str(tree))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "db").rglob("*.parquet")}
+    rows = lambda: sorted((r.file_path, r.ordinal, r.text) for r in engine.store.chunks.read().collect())
+    first = rows()
+    (tree / "readme.md").write_text("# New\nwords\n")
+    engine.replace_document(f"{tree}/readme.md")
+    assert all(p.exists() and p.stat().st_mtime_ns == t for p, t in before.items())
+    second = rows()
+    assert first != second and len([r for r in second if r[0].endswith("readme.md")]) == 1
+    # a run that died after its chunks and before its commit
+    engine.store.chunks.read().write.parquet(str(tmp_path / "db" / "chunks" / "version=5"))
+    assert rows() == second and engine.store.chunks.count() == len(second)
+    engine.remove_document(f"{tree}/a.py")
+    third = rows()
+    engine.store.compact()
+    assert rows() == third and len(list((tmp_path / "db" / "registry").glob("version=*"))) == 1
+
+
+def test_one_listing_and_one_read_of_each_file(spark, tmp_path):
+    """Two thousand files in batches: every file is loaded by one batch."""
+    root = tmp_path / "many"
+    root.mkdir()
+    for k in range(2000):
+        (root / f"f{k:04d}.txt").write_text(f"words of file {k}")
+    engine = Engine(spark, str(tmp_path / "db"), config.Settings(ingest_batch_size=500))
+    real, seen = files.load, []
+    files.load = lambda s, paths, settings=None: (seen.append(list(paths)), real(s, paths, settings))[1]
+    try:
+        report = engine.index_directory(str(root))
+    finally:
+        files.load = real
+    assert [len(p) for p in seen] == [500] * 4 and len({x for p in seen for x in p}) == 2000
+    assert report["files_processed"] == 2000 == engine.store.registry.count() == engine.store.chunks.count()
+
+
+def test_embedding_server(spark, tree, tmp_path):
+    """The server that the settings name is asked; a store refuses the vectors of another model."""
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            assert self.path == "/api/embed" and asked["model"] == "m1"
+            body = json.dumps({"embeddings": [[float(len(t)), 1.0, 2.0] for t in asked["input"]]}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    (tmp_path / "c.yaml").write_text(f"ollama_base_url: http://127.0.0.1:{server.server_port}\nollama_embedding_model: m1\nvector_persist_dir: {tmp_path}/vectors\nhttpx_log_level: ERROR\n")
+    settings = config.load(str(tmp_path / "c.yaml"))
+    assert settings.log_levels == {"httpx": "ERROR"}
+    engine = Engine(spark, settings=settings)
+    assert engine.folder == f"{tmp_path}/vectors" and engine.embedder.dimensions == 3
+    assert engine.index_directory(str(tree), include_extensions=[".md"])["status"] == "ok"
+    assert engine.query("x")["chunks"]
+    other = Engine(spark, f"{tmp_path}/vectors")
+    assert "was made with" in other.query("x")["message"]
+    assert other.index_directory(str(tree), include_extensions=[".md"])["status"] == "partial"
+    server.shutdown()
