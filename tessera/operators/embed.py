@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,16 +37,23 @@ class HashEmbedder:
     def __init__(self, dimensions: int = 64):
         self.dimensions = dimensions
         self.model_id = f"hashed-words-{dimensions}"
+        self._known: dict[str, tuple[int, bytes]] = {}
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         return [self._one(t) for t in texts]
 
     def _one(self, text: str) -> list[float]:
-        out = [0.0] * self.dimensions
-        words = re.findall(r"\w+", text.lower())
-        for gram in [*words, *map(" ".join, zip(words, words[1:]))]:
-            h = zlib.crc32(gram.encode())
-            out[h % self.dimensions] += 1.0 if h >> 31 else -1.0
+        known, words = self._known, re.findall(r"\w+", text.lower())
+        if len(known) > 200_000:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = zlib.crc32(w.encode()), b" " + w.encode()
+        found = [known[w] for w in words]
+        # the checksum of a pair goes on from that of its first word
+        hashes = [h for h, _ in found] + [zlib.crc32(tail, head) for (head, _), (_, tail) in zip(found, found[1:])]
+        h = np.array(hashes, np.int64)
+        out = np.bincount(h % self.dimensions, np.where(h >> 31, 1.0, -1.0), self.dimensions).tolist()
         norm = math.sqrt(sum(x * x for x in out))
         return [x / norm for x in out] if norm else out
 

@@ -92,10 +92,14 @@ def lookup(chunks: DataFrame, symbols: DataFrame, key: str = "id", one_based: bo
         tails = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda k: F.array_join(F.slice(parts, k, F.lit(1 << 20)), "/"))
         placed = c.withColumn("__rel", F.explode(tails)).join(paths, "__rel")
     else:
-        tail = 3
-        name = lambda p: F.substring_index(p, "/", -1)
-        near = F.right(name(F.col("__path")), F.lit(tail)) == F.right(name(F.col("__rel")), F.lit(tail))
-        placed = c.join(paths, near & (F.col("__path").endswith(F.col("__rel")) | F.col("__rel").endswith(name(F.col("__path")))))
+        # of paths that match one file name ends with the other, so each is looked up among the other's endings
+        ends = lambda n: F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(n), F.lit(1))), lambda k: n.substr(k, F.length(n))))
+        own = c.select("__path").distinct().withColumn("__name", F.substring_index("__path", "/", -1))
+        named = paths.withColumn("__base", F.substring_index("__rel", "/", -1))
+        both = own.withColumn("__end", ends(F.col("__name"))).join(named.withColumnRenamed("__base", "__end"), "__end")
+        both = both.unionByName(named.withColumn("__end", ends(F.col("__base"))).drop("__base").join(own.withColumn("__end", F.col("__name")), "__end"))
+        matched = both.where(F.col("__path").endswith(F.col("__rel")) | F.col("__rel").endswith(F.col("__name"))).select("__path", "index_ord", "__rel").distinct()
+        placed = c.join(matched, "__path")
     rest = F.struct(*[F.col(x) for x in fields])
     here = s.select("index_ord", "__rel", F.col("start").cast("int").alias("__at"), F.struct("start", F.col("__doc").alias("d"), F.col("ord").alias("o"), rest.alias("r")).alias("__next"), F.struct("start", (-F.col("__doc")).alias("d"), (-F.col("ord")).alias("o"), rest.alias("r")).alias("__last"))
     both = here.unionByName(placed.select("index_ord", "__rel", F.col("__line").cast("int").alias("__at"), key, "__line", "__end", "__ends"), allowMissingColumns=True)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tessera.functions import headers
 from tessera.functions import symbols as X
 from tessera.functions import text as T
-from tessera.operators import chunking, code, embed, graph, markdown, packing, search, stats, structured
+from tessera.operators import chunking, embed, graph, markdown, packing, search, stats, structured
 from tessera.operators.ordering import numbered
+from tessera.plans import lifecycle
 from tessera.plans.oracles import CAPACITY, ORACLES
 from tessera.sources import files
 
@@ -147,8 +148,10 @@ def md_rich_metadata(spark, sf_dir):
 
 @query
 def line_numbers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("chunk", F.substring("text", 101, 300))
-    return docs.select("doc_id", T.line_span(F.col("text"), F.col("chunk")).alias("s")).select("doc_id", "s.*")
+    """Each packed chunk, and one that is nowhere, looked up in its whole text."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select("doc_id", "text", F.posexplode(F.concat(packing.line_pack(F.col("text"), CAPACITY), F.array(F.lit("\x02none")))).alias("ordinal", "chunk"))
+    return chunks.select("doc_id", "ordinal", T.line_span(F.col("text"), F.col("chunk")).alias("s")).select("doc_id", "ordinal", "s.*")
 
 
 @query
@@ -196,12 +199,6 @@ def html_code_chunks(spark, sf_dir):
     return spark.sql("SELECT page_id, c.* FROM tessera_pages, LATERAL code_chunks(html, 'html', 256) c")
 
 
-@query
-def sentence_chunks(spark, sf_dir):
-    cut = F.udf(lambda t: code.sentences(t or "", 64, 12), "array<string>", useArrow=True)
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut("text")).alias("ordinal", "chunk"))
-
-
 # ---------------------------------------------------------------- headers and names
 
 
@@ -321,7 +318,7 @@ def list_documents(spark, sf_dir):
 
 
 @query
-def ingest_batches(spark, sf_dir):
+def lower_path_batches(spark, sf_dir):
     pages = numbered(table(spark, sf_dir, "pages").select("page_id", F.lower("url").alias("p")), ["p", "page_id"], "k")
     return pages.groupBy(F.floor((F.col("k") - 1) / 100).cast("long").alias("batch_index")).agg(F.count("*").alias("files_processed"), F.min("page_id").alias("first_page"))
 
@@ -331,34 +328,14 @@ def registry_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.path_id(F.col("url")).alias("doc_id"), T.content_hash(F.col("html").cast("binary")).alias("file_hash"), F.octet_length("html").alias("file_size"))
 
 
-@query
-def replace_document(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    new = docs.where("source = 'src3'").select((F.col("doc_id") + 1000000).alias("doc_id"), "source", (F.col("n_chars") * 2).alias("n_chars"))
-    return docs.join(new.select("source").distinct(), "source", "left_anti").select("doc_id", "source", "n_chars").unionByName(new)
-
-
-@query
-def remove_document(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    gone = spark.createDataFrame([("src0",), ("none",)], "source string")
-    return docs.join(gone, "source", "left_anti").select("doc_id", "source")
-
-
-@query
-def registered_files(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id", "left_semi")
-
-
 @query
 def retrieval(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
 def queries():
-    return dict(QUERIES)
+    return QUERIES | lifecycle.QUERIES
 
 
 def oracle_sql():
-    return dict(ORACLES)
+    return ORACLES | lifecycle.ORACLES

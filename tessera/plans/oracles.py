@@ -79,6 +79,26 @@ section AS (
          CAST(min(k) AS INTEGER) AS start_line, CAST(max(k) AS INTEGER) AS end_line, string_agg(x, chr(10) ORDER BY k) AS content
   FROM part GROUP BY doc_id, g)"""
 ORACLES["md_sections"] = "WITH " + _SECTIONS + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INTEGER) AS ordinal, title, level, start_line, end_line, content FROM section"
+ORACLES["md_chunks"] = (
+    "WITH RECURSIVE " + _SECTIONS + r""", item AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS k FROM section),
+step AS (
+  SELECT doc_id, k, 1 AS p, length(content) AS size, length(content) > 384 AS big FROM item WHERE k = 1
+  UNION ALL
+  SELECT i.doc_id, i.k, CASE WHEN length(i.content) > 384 OR s.big OR s.size + length(i.content) > 256 THEN s.p + 1 ELSE s.p END,
+         CASE WHEN length(i.content) > 384 OR s.big OR s.size + length(i.content) > 256 THEN length(i.content) ELSE s.size + length(i.content) END,
+         length(i.content) > 384
+  FROM step s JOIN item i ON i.doc_id = s.doc_id AND i.k = s.k + 1),
+made AS (
+  SELECT doc_id, p, string_agg(content, chr(10) || chr(10) ORDER BY k) AS whole, min_by(title, k) AS section_title, min_by(level, k) AS section_level,
+         string_agg(title, ' > ' ORDER BY k) AS section_hierarchy, string_agg(CAST(level AS VARCHAR), ',' ORDER BY k) AS header_levels,
+         min(start_line) AS start_line, max(end_line) AS end_line, CASE WHEN bool_or(big) THEN true END AS is_partial
+  FROM step JOIN item USING (doc_id, k) GROUP BY doc_id, p),
+-- a section that is too large has two lines here, of which each is a piece
+cut AS (SELECT *, unnest(CASE WHEN is_partial THEN string_split(whole, chr(10)) ELSE [whole] END) AS text,
+               generate_subscripts(CASE WHEN is_partial THEN string_split(whole, chr(10)) ELSE [whole] END, 1) AS j FROM made)
+SELECT * EXCLUDE (p, j, whole), CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, j) - 1 AS INTEGER) AS ordinal,
+       CAST(len(regexp_extract_all(text, '[^\s\x{00a0}\x{2000}-\x{200a}\x{3000}]+')) AS INTEGER) AS word_count FROM cut"""
+)
 ORACLES["md_rich_metadata"] = r"""
 WITH rich AS (SELECT doc_id, text || chr(10) || '- [ ] open' || chr(10) || '- [x] done' || chr(10) || '  - [X] nested' || chr(10) || '![pic](a.png) and [link](b)' || chr(10) ||
   '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || repeat('[more](x) ', doc_id % 5) AS t FROM documents),
@@ -88,10 +108,13 @@ c AS (SELECT doc_id, len(regexp_extract_all(t, '[^\s\x{00a0}\x{2000}-\x{200a}\x{
 SELECT doc_id, CAST(w AS INTEGER) AS word_count, CAST(code AS INTEGER) AS code_block_count, CAST(box AS INTEGER) AS checkbox_count, CAST(link AS INTEGER) AS link_count,
   CAST(image AS INTEGER) AS image_count, CAST(tab AS INTEGER) AS table_count, CAST(yes AS INTEGER) AS checked_count, CAST(box - yes AS INTEGER) AS unchecked_count,
   code > 0 AS has_code_blocks, box > 0 AS has_checkboxes, link > 0 AS has_links, image > 0 AS has_images, tab > 0 AS has_tables FROM c"""
-ORACLES["line_numbers"] = """
-WITH c AS (SELECT doc_id, text, substr(text, 101, 300) AS chunk, strpos(text, substr(text, 101, 300)) AS p FROM documents),
-n AS (SELECT doc_id, p, length(substr(text, 1, p - 1)) - length(replace(substr(text, 1, p - 1), chr(10), '')) + 1 AS s, length(chunk) - length(replace(chunk, chr(10), '')) AS h FROM c)
-SELECT doc_id, CAST(CASE WHEN p > 0 THEN s ELSE 1 END AS INTEGER) AS start_line, CAST(CASE WHEN p > 0 THEN s + h ELSE 1 END AS INTEGER) AS end_line FROM n"""
+ORACLES["line_numbers"] = (
+    _PACK.format(extra=0).replace("SELECT doc_id, CAST(g - 1", ", packed AS (SELECT doc_id, CAST(g - 1") + """),
+asked AS (SELECT doc_id, ordinal, chunk FROM packed UNION ALL SELECT doc_id, CAST(max(ordinal) + 1 AS INTEGER), chr(2) || 'none' FROM packed GROUP BY doc_id),
+c AS (SELECT doc_id, ordinal, text, chunk, strpos(text, chunk) AS p FROM asked JOIN documents USING (doc_id)),
+n AS (SELECT *, length(substr(text, 1, p - 1)) - length(replace(substr(text, 1, p - 1), chr(10), '')) + 1 AS s, length(chunk) - length(replace(chunk, chr(10), '')) AS h FROM c)
+SELECT doc_id, ordinal, CAST(CASE WHEN p > 0 THEN s ELSE 1 END AS INTEGER) AS start_line, CAST(CASE WHEN p > 0 THEN s + h ELSE 1 END AS INTEGER) AS end_line FROM n"""
+)
 ORACLES["json_array_groups"] = """
 SELECT user_id, CAST((k - 1) // 50 AS INTEGER) AS ordinal, CAST(count(*) AS INTEGER) AS n_items, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS items
 FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) GROUP BY user_id, (k - 1) // 50"""
@@ -149,11 +172,34 @@ ORACLES["stats_counts"] = "WITH " + _CHUNK + """
 SELECT facet, value, count(*) AS n FROM (SELECT 'chunk_type' AS facet, coalesce(chunk_type, 'unknown') AS value FROM c UNION ALL SELECT 'language', language FROM c UNION ALL SELECT 'kind', kind FROM c) WHERE value <> '' GROUP BY 1, 2"""
 ORACLES["chunks_per_file"] = "SELECT source AS file_path, count(*) AS chunk_count FROM documents GROUP BY source"
 ORACLES["list_documents"] = "SELECT count(DISTINCT source) AS total_documents, count(*) AS total_chunks FROM documents"
-ORACLES["ingest_batches"] = """
+ORACLES["lower_path_batches"] = """
 SELECT (k - 1) // 100 AS batch_index, count(*) AS files_processed, min(page_id) AS first_page
 FROM (SELECT page_id, row_number() OVER (ORDER BY lower(url), page_id) AS k FROM pages) GROUP BY 1"""
 ORACLES["registry_ids"] = "SELECT page_id, sha256(url) AS doc_id, substr(sha256(html), 1, 16) AS file_hash, CAST(octet_length(encode(html)) AS INTEGER) AS file_size FROM pages"
-ORACLES["replace_document"] = """
-SELECT doc_id, source, n_chars FROM documents WHERE source <> 'src3' UNION ALL SELECT doc_id + 1000000, source, n_chars * 2 FROM documents WHERE source = 'src3'"""
-ORACLES["remove_document"] = "SELECT doc_id, source FROM documents WHERE source NOT IN ('src0', 'none')"
-ORACLES["registered_files"] = "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
+ORACLES["xml_chunks"] = r"""
+WITH RECURSIVE raw AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+item AS (SELECT doc_id, 1 AS k, 'lang' AS tag, '<lang>x</lang>' AS c FROM documents
+  UNION ALL SELECT doc_id, k + 1, 'p', CASE WHEN x = '' THEN '<p />' ELSE '<p>' || replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' END FROM raw),
+step AS (
+  SELECT doc_id, k, 1 AS p, length(c) AS size, length(c) > 384 AS big FROM item WHERE k = 1
+  UNION ALL
+  SELECT i.doc_id, i.k, CASE WHEN length(i.c) > 384 OR s.big OR s.size + length(i.c) > 256 THEN s.p + 1 ELSE s.p END,
+         CASE WHEN length(i.c) > 384 OR s.big OR s.size + length(i.c) > 256 THEN length(i.c) ELSE s.size + length(i.c) END, length(i.c) > 384
+  FROM step s JOIN item i ON i.doc_id = s.doc_id AND i.k = s.k + 1)
+SELECT doc_id, CAST(p - 1 AS INTEGER) AS ordinal, string_agg(c, chr(10) ORDER BY k) AS text,
+       CASE WHEN count(DISTINCT tag) = 1 THEN '/doc/' || min(tag) ELSE '/doc/{' || string_agg(tag, ',' ORDER BY k) || '}' END AS xml_path,
+       CASE WHEN count(DISTINCT tag) = 1 THEN min(tag) ELSE string_agg(tag, ',' ORDER BY k) END AS xml_tag,
+       CASE WHEN bool_or(big) THEN 'xml_split' ELSE 'structured' END AS chunk_type, CAST(CASE WHEN NOT bool_or(big) THEN count(*) END AS INTEGER) AS tag_count,
+       CASE WHEN bool_or(big) THEN true END AS is_partial
+FROM step JOIN item USING (doc_id, k) GROUP BY doc_id, p"""
+ORACLES["json_chunks"] = r"""
+WITH part AS (SELECT doc_id, '  "doc_id": ' || doc_id AS a, '  "lang": ' || to_json(lang) AS b,
+  '  "lines": [' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x: '    ' || to_json(x)), ',' || chr(10)) || chr(10) || '  ]' AS c FROM documents),
+size AS (SELECT *, length(a) + length(b) + 8 AS head, length(c) + 4 AS body FROM part),
+made AS (
+  SELECT doc_id, 0 AS ordinal, '{' || chr(10) || a || ',' || chr(10) || b || ',' || chr(10) || c || chr(10) || '}' AS text, '$.{doc_id,lang,lines}' AS json_path, 'structured' AS chunk_type, NULL AS is_partial
+  FROM size WHERE body <= 384 AND head + body <= 256
+  UNION ALL SELECT doc_id, 0, '{' || chr(10) || a || ',' || chr(10) || b || chr(10) || '}', '$.{doc_id,lang}', 'structured', NULL FROM size WHERE body > 384 OR head + body > 256
+  UNION ALL SELECT doc_id, 1, '{' || chr(10) || c || chr(10) || '}', '$.lines', CASE WHEN body > 384 THEN 'json_split' ELSE 'structured' END, CASE WHEN body > 384 THEN true END
+  FROM size WHERE body > 384 OR head + body > 256)
+SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, text, json_path, chunk_type, is_partial, CAST(NULL AS VARCHAR) AS array_range FROM made"""
