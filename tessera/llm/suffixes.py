@@ -37,6 +37,8 @@ LENGTH, BLOCK = 200, 128
 #: Bytes hashed at a time, so that the arrays stay in the processor's cache.
 BUFFER = 256 << 10
 BROADCAST_BYTES = 48 << 20
+#: The bitmap of repeated anchors beyond that has 2 ** MARK_BITS bits.
+MARK_BITS = 28
 #: Symbols that one suffix array holds, unless a single anchor has more.
 TEXT_SYMBOLS = 1 << 16
 BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95]
@@ -239,11 +241,35 @@ def counts(rows: DataFrame, length: int, block: int) -> DataFrame:
 OCCURRENCES = "key long, digest long, first int, end int, hash long, low long, high long, even boolean, anchor int, segment binary"
 
 
+def bitmap(repeated: DataFrame, bits: int) -> np.ndarray:
+    """One bit for the first ``bits`` bits of each hash: 2 ** bits bits, however many hashes there are."""
+    side = 1 << min(bits, 19)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(1 << bits >> 3, np.uint8)
+        for batch in batches:
+            place = np.unique((batch.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64))
+            np.bitwise_or.at(on, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        for k in range(0, len(on), side >> 3):
+            if (part := on[k : k + (side >> 3)]).any():
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "marks": [part.tobytes()]})
+
+    def together(group: pa.Table) -> pa.Table:
+        marks = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group["marks"].to_pylist()])
+        return pa.table({"chunk": group["chunk"].slice(0, 1), "marks": pa.array([marks.tobytes()], pa.binary())})
+
+    tasks = 2 * repeated.sparkSession.sparkContext.defaultParallelism  # each sends all marks
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for r in repeated.select("hash").coalesce(tasks).mapInArrow(mark, "chunk int, marks binary").groupBy("chunk").applyInArrow(together, "chunk int, marks binary").collect():
+        out[r.chunk : r.chunk + len(r.marks)] = np.frombuffer(r.marks, np.uint8)
+    return out
+
+
 def occurrences(rows: DataFrame, repeated: DataFrame, length: int, block: int) -> DataFrame:
     """Segments of repeated anchors. Runs of even ones are merged; others have their bytes once a task.
 
-    The repeated anchors are broadcast if they fit in BROADCAST_BYTES; else all segments are dealt
-    by anchor and joined.
+    The repeated anchors are broadcast if they fit in BROADCAST_BYTES; else a bitmap of fixed size
+    passes over most others, and what it lets through is joined by anchor.
     """
     small = repeated.count() * 9 <= BROADCAST_BYTES
     if small:
@@ -251,6 +277,8 @@ def occurrences(rows: DataFrame, repeated: DataFrame, length: int, block: int) -
         hashes = found["hash"].to_numpy().view(np.uint64)
         order = np.argsort(hashes)
         sent = rows.sparkSession.sparkContext.broadcast((hashes[order], found["even"].to_numpy(zero_copy_only=False)[order]))
+    else:
+        marks = rows.sparkSession.sparkContext.broadcast(bitmap(repeated, MARK_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value if small else None
@@ -266,7 +294,9 @@ def occurrences(rows: DataFrame, repeated: DataFrame, length: int, block: int) -
                     pick = np.flatnonzero(known[0][at] == s.hash)
                     even = known[1][at[pick]]
                 else:
-                    pick, even = np.arange(len(s.hash)), np.zeros(len(s.hash), bool)
+                    place = (s.hash >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+                    pick = np.flatnonzero(marks.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                    even = np.zeros(len(pick), bool)
                 out = []
                 last = -1
                 for k, flat in zip(pick.tolist(), even.tolist(), strict=True):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,3 +62,29 @@ def test_long_texts_come_in_pieces(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.cleaned(suffixes.removed_spans(docs, length=50, block=32)).collect()}
     assert got == dict(enumerate(brute(texts, 50)))
+
+
+def test_anchors_beyond_the_broadcast(spark, monkeypatch):
+    """The way for more repeated anchors than a broadcast holds gives the same result; a small bitmap lets others through."""
+    rng = np.random.default_rng(6)
+    shared = [bytes(rng.integers(97, 123, 400, np.uint8)).decode() for _ in range(5)]
+    texts = [bytes(rng.integers(97, 123, 300, np.uint8)).decode() + shared[k % 5] + bytes(rng.integers(97, 123, 90, np.uint8)).decode() for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0], None])), "doc_id long, text string")
+    key = lambda: sorted((r.doc_id, [tuple(s) for s in r.spans]) for r in suffixes.removed_spans(docs).collect())
+    whole = key()
+    assert sum(map(bool, (s for _, s in whole))) == 41
+    monkeypatch.setattr(suffixes, "BROADCAST_BYTES", 0)
+    for bits in (20, 4):
+        monkeypatch.setattr(suffixes, "MARK_BITS", bits)
+        got = suffixes.report(suffixes.cleaned(suffixes.removed_spans(docs))).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in got) == sorted((i, sum(b - a for a, b in merged(s))) for i, s in whole)
+
+
+def merged(spans):
+    out = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
