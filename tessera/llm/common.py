@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -35,6 +38,8 @@ BATCH_BYTES = "4m"
 FILES_A_CORE = 4
 #: Partitions of the session's shuffles that one file may hold, unless the table is light.
 PARTITIONS_A_FILE = 4
+#: Row groups of intermediate tables: what a writing task holds in memory.
+ROW_GROUP_BYTES = 16 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -59,7 +64,7 @@ def written(df: DataFrame, tag: str, light: bool = False) -> DataFrame:
         files = FILES_A_CORE * spark.sparkContext.defaultParallelism
         if not light:
             files = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_FILE)
-        df.coalesce(files).write.parquet(path)
+        df.coalesce(files).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -152,6 +157,26 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 _made: dict[str, object] = {}
 
 
+def tidy(run: Callable) -> Callable:
+    """``run``, a function for ``mapInArrow``, on a worker without leftovers.
+
+    Objects that other operators keep in the worker go before it starts, and memory that it has
+    freed goes back to the system when it ends, as idle workers live on beside the busy ones.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _made.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def once(key: str, make: Callable[[], object]) -> object:
     """One object per Python worker and key; a new key of the same kind replaces the old object."""
     kind = key.split(":")[0]

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, binaries, portions, written
+from tessera.llm.common import Scratch, binaries, portions, tidy, written
 
 #: Counters of the frequency sketch; 4 bytes each.
 COUNTERS = 1 << 22
@@ -139,7 +139,7 @@ def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 )
                 at += len(part)
 
-    return source.mapInArrow(run, f"key long, {SETS}")
+    return source.mapInArrow(tidy(run), f"key long, {SETS}")
 
 
 def frequencies(table: DataFrame) -> np.ndarray:
@@ -162,7 +162,7 @@ def frequencies(table: DataFrame) -> np.ndarray:
 
     out = np.zeros(COUNTERS, np.uint32)
     tasks = 2 * table.sparkSession.sparkContext.defaultParallelism  # each sends all counters
-    for r in table.select("tokens").coalesce(tasks).mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
+    for r in table.select("tokens").coalesce(tasks).mapInArrow(tidy(count), "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
         out[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.counts, np.uint32)
     return out
 
@@ -235,8 +235,8 @@ def postings(table: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
         keep = fresh & ((np.bincount(group, fresh)[group] > 1) | (size > 1))
         yield from rows.filter(pa.array(keep)).to_batches()
 
-    rows = table.where("sid is not null").select("sid", "tokens").mapInArrow(emit, LISTS)
-    return rows.repartition("token", "block").sortWithinPartitions("token", "block", "sid").mapInArrow(lists, LISTS)
+    rows = table.where("sid is not null").select("sid", "tokens").mapInArrow(tidy(emit), LISTS)
+    return rows.repartition("token", "block").sortWithinPartitions("token", "block", "sid").mapInArrow(tidy(lists), LISTS)
 
 
 def wanted(table: DataFrame, needed: DataFrame, *columns: str) -> DataFrame:
@@ -260,7 +260,7 @@ def verified(table: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 yes.append(meet(x, y, percent) and shared_count(x, y) >= least_shared(len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(yes, pa.bool_())], names=["a", "b", "linked"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a binary, b binary, linked boolean")
 
 
 def shared_count(x: np.ndarray, y: np.ndarray) -> int:
@@ -480,7 +480,7 @@ def short_pairs(lists: DataFrame, table: DataFrame, percent: int) -> DataFrame:
 
     # sets come in order within a list, so a < b
     dealt = lists.select("token", "sid", "n").repartition("token").sortWithinPartitions("token", "sid")
-    found = written(dealt.mapInArrow(run, "a binary, b binary").distinct(), "jaccard-candidates")
+    found = written(dealt.mapInArrow(tidy(run), "a binary, b binary").distinct(), "jaccard-candidates")
     parity = written(wanted(table, found.select(F.explode(F.array("a", "b")).alias("sid")), "n", "parity"), "jaccard-parity")
     both = found.join(parity.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("parity").alias("x")), "a").join(
         parity.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y")), "b"
@@ -501,7 +501,7 @@ def short_pairs(lists: DataFrame, table: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(bits <= most)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(bits).filter(keep)], names=["a", "b", "d"])
 
-    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(compare, "a binary, b binary, d int")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(tidy(compare), "a binary, b binary, d int")
 
 
 def crossing(near: DataFrame, label: DataFrame) -> DataFrame:
