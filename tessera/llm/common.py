@@ -38,6 +38,8 @@ BATCH_BYTES = "4m"
 FILES_A_CORE = 4
 #: Partitions of the session's shuffles that one file may hold, unless the table is light.
 PARTITIONS_A_FILE = 4
+#: So many files are never too many.
+FEW_FILES = 64
 #: Row groups of intermediate tables: what a writing task holds in memory.
 ROW_GROUP_BYTES = 16 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -63,7 +65,7 @@ def written(df: DataFrame, tag: str, light: bool = False) -> DataFrame:
     try:
         files = FILES_A_CORE * spark.sparkContext.defaultParallelism
         if not light:
-            files = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_FILE)
+            files = max(files, FEW_FILES, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_FILE)
         df.coalesce(files).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
