@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -26,7 +27,7 @@ from tessera.llm.common import OUT_BYTES, binaries, once, with_text
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens whose ids a worker remembers; the memory starts anew beyond it.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Longer pre-tokens are encoded but not remembered.
 REMEMBERED_CHARS = 64
 
@@ -96,7 +97,7 @@ class Codec:
         return [i for i in ids if i >= 0]
 
     def learn(self, piece: str) -> bytes:
-        packed = np.array(self.merged(piece.encode()), np.int32).tobytes()
+        packed = array("i", self.merged(piece.encode())).tobytes()
         if len(piece) <= REMEMBERED_CHARS:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
