@@ -34,3 +34,15 @@ def test_near_duplicates_share_four_fifths_of_five_words(spark):
 
 def test_stages():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_empty_tables_extra_columns_and_repeated_rows(spark, tmp_path):
+    """Empty tables give no rows; columns with names of the operators' own are no harm; of repeated rows one stays."""
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long, spans string, items int, __text string, score int", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, kind in kinds.items():
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+        rows = [(1, "one small text of seven words here", "en", "s", 34, "x", 1, "y", 2)] * 2 + [(None, None, None, None, None, None, None, None, None)] if name == "documents" else []
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/few/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/few").collect()
+    assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in got) == [(0, False), (1, True)]
