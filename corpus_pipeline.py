@@ -2,7 +2,9 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a frame
 that is written as Parquet and read again as the next one's docs. All but the last return the
-columns of documents. Rows keep their other columns; texts that a stage changes get a new n_chars.
+columns of documents; ``run`` takes those five and no others. Texts that a stage changes get a new
+n_chars. Null and empty texts stay and have no tokens; of repeated rows one stays, but all rows
+without an id do; empty tables give no rows.
 """
 
 from __future__ import annotations
