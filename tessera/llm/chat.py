@@ -4,26 +4,29 @@ For every participant of a conversation, the dialogue is rendered with that spea
 assistant: their turns are marked as the assistant's and are to be learned (mask 1), system turns
 stay system turns, and every other speaker is a named user (mask 0).
 
-A dialogue is rendered in sections of ``section_turns`` turn numbers, so that a row, and a task's
-memory, stay bounded whatever the length of a conversation; sections in order are the dialogue.
-Repeated turns are counted before the shuffle, and the participants of a conversation are found by
-a distinct, so a conversation that holds a large part of all rows is dealt out by section.
+A dialogue is rendered in sections of ``section_turns`` turn numbers, and a section that has more
+than ``part_turns`` turns (turn numbers that repeat or are missing) in parts of so many, so that a
+row stays bounded whatever the length of a conversation; sections and parts in order are the
+dialogue. Repeated turns are counted before the shuffle and divided among the parts as numbers. A
+section is numbered by a running sum over its sorted rows, which spills; the join with the
+participants, one row each, is an inner equi-join, whose skewed partitions AQE splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SYSTEM = "system"
 
 
-def rotate(turns: DataFrame, section_turns: int = 64) -> DataFrame:
+def rotate(turns: DataFrame, section_turns: int = 64, part_turns: int = 256) -> DataFrame:
     """Render conversations (conv_id, turn, role, text) once for each participant.
 
-    One row for each conversation, participant and section: conv_id, perspective, section (long),
-    n_turns (long), rendered (string), mask_spans (array of start, end: the code points of the
-    section's ``rendered`` to learn from, end exclusive) and masks (array<int>, one a turn).
+    One row for each conversation, participant, section and part: conv_id, perspective, section and
+    part (long, from 0), n_turns (long, at most ``part_turns``), rendered (string), mask_spans (array
+    of start, end: the code points of ``rendered`` to learn from, end exclusive) and masks
+    (array<int>, one a turn).
 
     Turns are ordered by turn number, then role, then text; repeated rows are all rendered. Null
     texts are empty, a null role is the speaker "unknown", null turn numbers form a section of
@@ -39,8 +42,14 @@ def rotate(turns: DataFrame, section_turns: int = 64) -> DataFrame:
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     counted = clean.groupBy("conv_id", "section", "turn", "role", "text").agg(F.count("*").cast("int").alias("n"))
-    sections = counted.groupBy("conv_id", "section").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(0)).alias("turn"), "role", "text", "n"))).alias("turns")
+    order = Window.partitionBy("conv_id", "section").orderBy(F.coalesce("turn", F.lit(0)), "role", "text")
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("upto", upto).withColumn("at", F.col("upto") - F.col("n"))
+    last = F.floor((F.col("upto") - 1) / part_turns).cast("long")
+    cut = placed.withColumn("part", F.explode(F.sequence(F.floor(F.col("at") / part_turns).cast("long"), last)))
+    within = F.least("upto", (F.col("part") + 1) * part_turns) - F.greatest("at", F.col("part") * part_turns)
+    sections = cut.groupBy("conv_id", "section", "part").agg(
+        F.array_sort(F.collect_list(F.struct("at", "role", "text", within.cast("int").alias("n")))).alias("turns")
     )
     speakers = clean.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("__conv"), F.col("role").alias("perspective")).distinct()
     joined = sections.join(speakers, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv")
@@ -69,6 +78,7 @@ def rotate(turns: DataFrame, section_turns: int = 64) -> DataFrame:
             "conv_id",
             "perspective",
             "section",
+            "part",
             F.size("lines").cast("long").alias("n_turns"),
             F.array_join(F.transform("lines", lambda x: F.concat(x["head"], x["body"])), "").alias("rendered"),
             F.aggregate("lines", start, add, lambda a: a["spans"]).alias("mask_spans"),
@@ -83,6 +93,7 @@ def report(rotated: DataFrame) -> DataFrame:
         "conv_id",
         "perspective",
         "section",
+        "part",
         "n_turns",
         "rendered",
         F.array_join(F.col("masks").cast("array<string>"), ",").alias("masks"),

@@ -50,12 +50,13 @@ FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 
 ORACLES["op2_perspectives"] = r"""
 WITH clean AS (
-  SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS section, coalesce(turn, 0) AS turn,
-         coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
-  FROM conversations),
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, section ORDER BY turn, role, text) - 1) // 256 AS part
+  FROM (SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS section, coalesce(turn, 0) AS turn,
+               coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+        FROM conversations)),
 who AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM clean WHERE role <> 'system'),
 line AS (
-  SELECT conv_id, perspective, section, turn, role, text,
+  SELECT conv_id, perspective, section, part, turn, role, text,
          CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
               ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
          text || '<|end|>' || chr(10) AS body, CASE WHEN role = perspective THEN 1 ELSE 0 END AS mask
@@ -63,15 +64,15 @@ line AS (
 placed AS (
   SELECT *, coalesce(sum(length(head) + length(body)) OVER w, 0) AS before
   FROM line
-  WINDOW w AS (PARTITION BY conv_id, perspective, section ORDER BY turn, role, text
+  WINDOW w AS (PARTITION BY conv_id, perspective, section, part ORDER BY turn, role, text
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT conv_id, perspective, section, count(*) AS n_turns,
+SELECT conv_id, perspective, section, part, count(*) AS n_turns,
        string_agg(head || body, '' ORDER BY turn, role, text) AS rendered,
        string_agg(CAST(mask AS VARCHAR), ',' ORDER BY turn, role, text) AS masks,
        coalesce(string_agg(CASE WHEN mask = 1 THEN CAST(CAST(before + length(head) AS BIGINT) AS VARCHAR) || ':' ||
                 CAST(CAST(before + length(head) + length(body) - 1 AS BIGINT) AS VARCHAR) END, ','
                 ORDER BY turn, role, text), '') AS mask_spans
-FROM placed GROUP BY conv_id, perspective, section
+FROM placed GROUP BY conv_id, perspective, section, part
 """
 
 ORACLES["op8_warc"] = r"""
