@@ -134,18 +134,30 @@ def tree(spark: SparkSession, sf_dir: str) -> str:
     suffix = F.element_at(F.array(*map(F.lit, (".md", ".json", ".xml", ".py", ".dll"))), (kind + 1).cast("int"))
     rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey"), F.lit("/S"), s, suffix).alias("path"), text.alias("text"))
     folder = f"{workspace(spark)}/tree"
+    put(folder, rows)
+    return folder
+
+
+def put(folder: str, rows: DataFrame) -> None:
+    """Write ``text`` to each ``path`` (folder/name) of the folder, by all executors; null deletes."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
+        made: set[str] = set()
         for batch in batches:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                store.create_dir(f"{base}/{path.split('/')[0]}", recursive=True)
+                if text is None:
+                    if store.get_file_info(f"{base}/{path}").type != fs.FileType.NotFound:  # a task that runs again
+                        store.delete_file(f"{base}/{path}")
+                    continue
+                if (top := path.split("/")[0]) not in made:
+                    store.create_dir(f"{base}/{top}", recursive=True)
+                    made.add(top)
                 with store.open_output_stream(f"{base}/{path}") as out:
                     out.write(text.encode())
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})
 
-    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
-    return folder
+    rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 _FILES = """f AS (SELECT s_suppkey AS k, s_suppkey % 5 AS m, s_nationkey AS nation, 'S' || s_suppkey || ['.md', '.json', '.xml', '.py', '.dll'][s_suppkey % 5 + 1] AS file_name, s_name AS name FROM supplier),
@@ -212,13 +224,9 @@ def ingested_again(spark, sf_dir):
     store = Store(spark, workspace(spark))
     pipeline = Pipeline(spark, store)
     pipeline.ingest_directory(folder)
-    system, base = fs.FileSystem.from_uri(folder)
-    for f in system.get_file_info(fs.FileSelector(base, recursive=True)):
-        if f.path.endswith(".json"):
-            system.delete_file(f.path)
-        elif f.path.endswith(".md"):
-            with system.open_output_stream(f.path) as out:
-                out.write(f"new words {f.base_name[1:-3]}".encode())
+    listed = files.scan(spark, folder, include=[".md", ".json"], content=False).select(F.substring_index("file_path", "/", -2).alias("path"), "file_name", "suffix")
+    number = F.regexp_extract("file_name", r"^S(\d+)\.", 1)
+    put(folder, listed.select("path", F.when(F.col("suffix") == ".md", F.concat(F.lit("new words "), number)).alias("text")))
     pipeline.ingest_directory(folder, purge=True)
     return store.chunks.read().select("file_name", F.when(F.col("doc_type") == "md", F.col("text")).alias("text"))
 

@@ -50,16 +50,21 @@ def scan(
     include: Iterable[str] | None = None,
     exclude: Iterable[str] | None = None,
     content: bool = True,
+    skip: bool = False,
 ) -> DataFrame:
     """Files under ``root``: file_path, file_name, suffix, file_type, language, length (and content).
 
     Empty files and those of over 10 MiB are left out by a length predicate that reaches the scan.
-    A missing directory raises ``FileNotFoundError``. Use ``ordered`` for the order by lower path.
+    A missing directory raises ``FileNotFoundError``. With ``skip`` files that are gone or unreadable
+    by the time they are read are left out. Use ``ordered`` for the order by lower path.
     """
     settings = settings or Settings()
     _require_dir(spark, root)
     kept, left_out = wanted_suffixes(settings, include, exclude)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length").between(1, MAX_FILE_BYTES))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if skip:
+        reader = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
+    found = reader.load(root).where(F.col("length").between(1, MAX_FILE_BYTES))
     named = _in_tree(found, root, kept, left_out, settings.exclude_dirs)
     columns = ["path", "file_path", base_name(F.col("file_path")).alias("file_name"), suffix(F.col("file_path")).alias("suffix"), "length"]
     return classified(named.select(*columns, *(["content"] if content else [])), settings)
@@ -89,7 +94,7 @@ def _literal(path: str) -> str:
 
 
 def ordered(files: DataFrame) -> DataFrame:
-    return files.orderBy(F.lower("file_path"))
+    return files.orderBy(F.lower("file_path"), "file_path")
 
 
 def count(spark: SparkSession, root: str, settings: Settings | None = None, include: Iterable[str] | None = None) -> int:
@@ -147,11 +152,12 @@ def symbol_indexes(spark: SparkSession, root: str, parents: int = 3) -> list[str
 
     if found := here(top):
         return found
-    below, files = [], fs.listFiles(top, True)
-    while files.hasNext():
-        path = str(files.next().getPath())
-        if path.endswith("index.scip"):
-            below.append(path)
+    # level by level in the JVM: a call from here for each of many files would take longer than the listing
+    below, level = [], jvm.org.apache.hadoop.fs.Path(_literal(root), "*")
+    while len(fs.globStatus(jvm.org.apache.hadoop.fs.Path(level, "*")) or []):
+        hits = fs.globStatus(jvm.org.apache.hadoop.fs.Path(level, "*index.scip"))
+        below += [str(h.getPath()) for h in hits or [] if h.isFile()]
+        level = jvm.org.apache.hadoop.fs.Path(level, "*")
     if below:
         return sorted(below)
     for _ in range(parents):

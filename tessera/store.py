@@ -116,6 +116,10 @@ class Store:
 
     def save(self, chunks: DataFrame, files: DataFrame) -> int:
         """Replace the chunks and registry rows of ``files`` (file_path, file_name, length, file_hash); how many chunks there are now."""
+        return self.put(chunks, files)[1]
+
+    def put(self, chunks: DataFrame, files: DataFrame) -> tuple[int, int]:
+        """``save``; also the version that it made."""
         version = time.time_ns()
         where = f"{self.chunks.path}/version={version}"
         conform(chunks, CHUNK).write.parquet(where)
@@ -131,7 +135,7 @@ class Store:
             "file_hash",
         )
         self._commit(conform(rows, REGISTRY).withColumn("gone", F.lit(False)), version)
-        return made.count()
+        return version, made.count()
 
     def delete(self, paths: DataFrame) -> tuple[int, int]:
         """Remove files (file_path); how many were registered and how many chunks they had."""

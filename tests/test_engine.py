@@ -209,6 +209,56 @@ def test_one_listing_and_one_read_of_each_file(spark, tmp_path):
     assert report["files_processed"] == 2000 == engine.store.registry.count() == engine.store.chunks.count()
 
 
+def test_many_batches_in_one_pass(spark, tree, tmp_path, monkeypatch):
+    """Beyond a few batches there is one commit; reports, errors and rows are those of batches that run one by one."""
+    (tree / "scan.pdf").write_bytes(b"%PDF-1.4 \x00\xff")
+    (tree / "blank.md").write_text("  \n")
+    (tree / "Zed.txt").write_text("last words")
+    real, gone = files.symbol_indexes, tree / "doc.xml"
+
+    def lost(session, root):
+        gone.unlink()
+        return real(session, root)
+
+    monkeypatch.setattr(files, "symbol_indexes", lost)
+    seen = []
+    for few in (4, 99):
+        gone.write_text("<r><a>1</a></r>")
+        monkeypatch.setattr("tessera.ingest.FEW_BATCHES", few)
+        engine = Engine(spark, str(tmp_path / f"db{few}"), config.Settings(ingest_batch_size=2))
+        report = engine.index_directory(str(tree))
+        versions = len(list((tmp_path / f"db{few}" / "registry").glob("version=*")))
+        report["ingestion_stats"] = {k: v for k, v in report["ingestion_stats"].items() if k.startswith("by")}
+        seen.append((versions, report, sorted((r.file_path, r.ordinal, r.text) for r in engine.store.chunks.read().collect()), sorted(r.file_path for r in engine.store.registry.read().collect())))
+    assert (seen[0][0], seen[1][0]) == (1, 5) and seen[0][1:] == seen[1][1:]
+    assert [b["files_processed"] for b in seen[0][1]["batches"]] == [2, 1, 1, 2, 2] and len(seen[0][1]["errors"]) == 2
+
+
+def test_failing_pass_runs_batches(spark, tree, tmp_path, monkeypatch):
+    """If the pass over all batches fails, those before the failing one are stored."""
+    engine = Engine(spark, str(tmp_path / "db"), config.Settings(ingest_batch_size=1))
+    real, calls = engine.pipeline._ingest, []
+
+    def flaky(found, indexes):
+        calls.append(1)
+        if len(calls) in (1, 3):
+            raise RuntimeError("down")
+        return real(found, indexes)
+
+    monkeypatch.setattr(engine.pipeline, "_ingest", flaky)
+    report = engine.index_directory(str(tree))
+    assert (report["status"], report["batches_completed"], report["batches"][1]) == ("partial", 1, {"batch_index": 1, "error": "down"})
+    assert engine.store.registry.count() == 1
+
+
+def test_symbol_indexes_below(spark, tree):
+    for place in ("src/.scip/deep", "node_modules/x"):
+        (tree / place).mkdir(parents=True, exist_ok=True)
+        (tree / place / "a.index.scip").write_bytes(b"")
+    (tree / "src" / "index.scip").mkdir()
+    assert [p.removeprefix(f"file:{tree}/") for p in files.symbol_indexes(spark, str(tree))] == ["node_modules/x/a.index.scip", "src/.scip/deep/a.index.scip"]
+
+
 def test_embedding_server(spark, tree, tmp_path):
     """The server that the settings name is asked; a store refuses the vectors of another model."""
     import http.server
