@@ -18,18 +18,16 @@ def sections(text: Column) -> Column:
     What stands before the first header is the section "Introduction" of level 0. A section of white
     space alone is left out. Headers inside fenced code count, as they do for the reference.
     """
-    parts = F.split(text, r"(?U)(?m)(?=^#{1,6}[^\S\n]+[^\n]+$)", -1)
-    # content of all but the last section ends with the line break before the next header
+    # the line break before a header parts sections and belongs to neither; only "\n" ends a line
+    parts = F.split(text, r"(?U)\n(?=#{1,6}[^\S\n]+[^\n])", -1)
     start = F.struct(F.lit(1).alias("line"), F.array().cast(f"array<{SECTION}>").alias("out"))
 
     def add(a, p):
-        breaks = X.newlines(p)
-        body = F.regexp_replace(p, r"\n\z", "")
-        last = F.greatest(a["line"] + X.newlines(body), a["line"])
+        last = a["line"] + X.newlines(p)
         title = F.trim(F.regexp_extract(p, f"(?U){HEADER}", 2))
         level = F.length(F.regexp_extract(p, f"(?U){HEADER}", 1)).cast("int")
-        section = F.struct(F.when(level > 0, title).otherwise("Introduction").alias("title"), level.alias("level"), a["line"].alias("start"), last.alias("end"), body.alias("content"))
-        return F.struct((a["line"] + breaks).alias("line"), F.when(body.rlike(r"(?U)\S"), F.concat(a["out"], F.array(section))).otherwise(a["out"]).alias("out"))
+        section = F.struct(F.when(level > 0, title).otherwise("Introduction").alias("title"), level.alias("level"), a["line"].alias("start"), last.alias("end"), p.alias("content"))
+        return F.struct((last + 1).alias("line"), F.when(p.rlike(r"(?U)\S"), F.concat(a["out"], F.array(section))).otherwise(a["out"]).alias("out"))
 
     return F.aggregate(parts, start, add, lambda a: a["out"])
 

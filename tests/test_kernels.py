@@ -81,6 +81,22 @@ def test_markdown(spark):
     ]
 
 
+def test_markdown_line_breaks(spark):
+    """Only a line feed ends a line, and one at the end of a text stays with its section, as an empty last line."""
+    rows = [(1, "before\n# src\n"), (2, "# a\n## part\n\n## part\n"), (3, "x\r# y\n# z\u2028# w\nq"), (4, "# a\n\n\n")]
+    got = spark.createDataFrame(rows, "k int, text string").select("k", F.explode(markdown.sections(F.col("text"))).alias("s")).select("k", "s.*").orderBy("k", "start").collect()
+    assert [(r.k, r.title, r.start, r.end, r.content) for r in got] == [
+        (1, "Introduction", 1, 1, "before"),
+        (1, "src", 2, 3, "# src\n"),
+        (2, "a", 1, 1, "# a"),
+        (2, "part", 2, 3, "## part\n"),
+        (2, "part", 4, 5, "## part\n"),
+        (3, "Introduction", 1, 1, "x\r# y"),
+        (3, "z\u2028# w", 2, 3, "# z\u2028# w\nq"),
+        (4, "a", 1, 4, "# a\n\n\n"),
+    ]
+
+
 def test_counts(spark):
     rich = "- [ ] a\n- [x] b\n  - [X] c\n-[ ] no\n[![badge](s)](u) [l](m) ![i](j)\n| a | b |\n|---|:-:|\n```\nq\n```\nnb sp"
     r = spark.createDataFrame([(rich,)], "t string").select([c.alias(n) for n, c in T.markdown(F.col("t")).items()]).first()
