@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tessera.config import Settings
 from tessera.operators import code, markdown, structured
+from tessera.operators.batches import bounded, pieces
 from tessera.schema import CHUNK_META, conform
 from tessera.sources import converters, files
 
@@ -36,6 +37,7 @@ def chunk_files(found: DataFrame, settings: Settings | None = None, splitter: co
     documents fall back to sentences, as do unknown files. A file that cannot be chunked, or is
     binary and cannot be converted, gives one row with ``error`` instead of chunks.
     """
+    bounded(found.sparkSession)
     settings = settings or Settings()
     capacity, overlap = settings.chunk_size, settings.chunk_overlap
     plain = F.col("suffix").isin(list(converters.PLAIN))
@@ -60,18 +62,18 @@ def chunk_files(found: DataFrame, settings: Settings | None = None, splitter: co
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                own = {"file_path": r.file_path, "file_name": r.file_name}
-                try:
-                    if r.parser == "document" and r.suffix in converters.BINARY:
-                        raise ValueError(f"cannot be converted: {r.suffix}")
-                    found = parsed(r.parser, r.suffix, r.text or "", r.language, capacity, overlap, splitter)
-                    rows += [{**chunk, **own, "ordinal": k} for k, chunk in enumerate(found)]
-                except Exception as problem:  # one file must not end the batch
-                    rows.append({**own, "error": str(problem) or type(problem).__name__})
-            if rows:
-                yield pd.DataFrame(rows).reindex(columns=_OUT.names).astype(object).where(lambda x: x.notna(), None)
+            for some in pieces(row for r in pdf.itertuples(index=False) for row in of_file(r)):
+                yield pd.DataFrame(some).reindex(columns=_OUT.names).astype(object).where(lambda x: x.notna(), None)
+
+    def of_file(r) -> list[dict]:
+        own = {"file_path": r.file_path, "file_name": r.file_name}
+        try:
+            if r.parser == "document" and r.suffix in converters.BINARY:
+                raise ValueError(f"cannot be converted: {r.suffix}")
+            found = parsed(r.parser, r.suffix, r.text or "", r.language, capacity, overlap, splitter)
+            return [{**chunk, **own, "ordinal": k} for k, chunk in enumerate(found)]
+        except Exception as problem:  # one file must not end the batch
+            return [{**own, "error": str(problem) or type(problem).__name__}]
 
     rest = found.where(~doc).select("file_path", "file_name", "suffix", "parser", "language", files.text(F.col("content")).alias("text"))
     failed = turned.where("not converted").select("file_path", "file_name", "suffix", F.lit("document").alias("parser"), F.lit(None).cast("string").alias("language"), files.text(F.col("raw")).alias("text"))

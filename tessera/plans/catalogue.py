@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import headers
 from tessera.functions import symbols as X
 from tessera.functions import text as T
-from tessera.operators import chunking, embed, graph, markdown, packing, search, stats, structured
+from tessera.operators import batches, chunking, embed, graph, markdown, packing, search, stats, structured
 from tessera.operators.ordering import numbered
 from tessera.plans import lifecycle
 from tessera.plans.oracles import CAPACITY, ORACLES
@@ -165,11 +165,13 @@ def _parse(spark, sf_dir, texts: DataFrame, kind: str, columns: str) -> DataFram
 
     names = [c.split()[0] for c in columns.split(", ")]
 
-    def run(batches):
-        for pdf in batches:
-            rows = [{**c, "doc_id": d, "ordinal": k} for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for k, c in enumerate(chunking.parsed(kind, ".json", t, None, CAPACITY, 51))]
-            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None)
+    def run(found):
+        for pdf in found:
+            rows = ({**c, "doc_id": d, "ordinal": k} for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for k, c in enumerate(chunking.parsed(kind, ".json", t or "", None, CAPACITY, 51)))
+            for some in batches.pieces(rows):
+                yield pd.DataFrame(some, columns=names).astype(object).where(lambda x: x.notna(), None)
 
+    batches.bounded(spark)
     return texts.mapInPandas(run, columns)
 
 

@@ -15,6 +15,7 @@ from tessera import config
 from tessera.functions import text as T
 from tessera.ingest import Pipeline
 from tessera.operators import code, embed, graph, search
+from tessera.operators.batches import bounded
 from tessera.sources import files
 from tessera.store import Store, chunk_id
 
@@ -331,6 +332,7 @@ def sentence_chunks(spark, sf_dir):
                 found = code.sentences(text or "", 64, 12)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([key] * len(found), pa.int64()), "ordinal": pa.array(range(len(found)), pa.int32()), "chunk": pa.array(found, pa.string())})
 
+    bounded(spark)
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, ordinal int, chunk string")
 
 

@@ -119,6 +119,23 @@ def test_json():
     assert structured.json_units(list(range(120)), "")[-1].name == "array_items_100_120"
 
 
+def test_bounded_batches(spark, tmp_path):
+    """Parsers get and give texts in batches of bounded size, whatever the table's."""
+    from tessera.operators import batches
+    from tessera.plans import catalogue
+
+    rows = [{"text": "x" * n} for n in (5, 400, 1, 900, 2, 3)] + [{"text": None}]
+    got = list(batches.pieces(rows, chars=450))
+    assert [r for some in got for r in some] == rows and [len(some) for some in got] == [2, 2, 3]
+    assert list(batches.pieces([])) == []
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = [None, "", *("line\n" * 60_000 for _ in range(20))]
+    spark.createDataFrame([(k, "en", t) for k, t in enumerate(texts)], "doc_id long, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.json_chunks(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == batches.BATCH_BYTES
+    assert [(r.doc_id, r.ordinal) for r in found.select("doc_id", "ordinal").collect()] == [(0, 0), (1, 0), *((k, o) for k in range(2, 22) for o in (0, 1))]
+
+
 def test_xml():
     out = structured.xml_chunks("<r xmlns='u'><a>1</a>tail<b><c/></b></r>", 400)
     assert out[0]["xml_path"] == "/r/{a,b}" and out[0]["tag_count"] == 2 and out[0]["child_count"] == 1 and "tail" in out[0]["text"]
