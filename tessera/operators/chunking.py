@@ -51,7 +51,8 @@ def chunk_files(found: DataFrame, settings: Settings | None = None, splitter: co
 
     turned = found.where(doc & ~plain).select("file_path", "file_name", "suffix", "content").mapInPandas(turn, "file_path string, file_name string, suffix string, text string, converted boolean, raw binary")
     documents = ready.unionByName(turned.where("converted").drop("raw"))
-    native = markdown.chunks(documents, capacity).withColumns(
+    # the line break that ends a file's last line begins no line of its own
+    native = markdown.chunks(documents.withColumn("text", F.regexp_replace("text", r"\n\z", "")), capacity).withColumns(
         {
             "doc_type": F.when(F.col("converted"), "md").otherwise(F.substring("suffix", 2, 20)),
             "chunk_type": F.lit("document"),
