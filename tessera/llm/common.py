@@ -159,6 +159,13 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 _made: dict[str, object] = {}
 
 
+def released() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """``run``, a function for ``mapInArrow``, on a worker without leftovers.
 
@@ -172,9 +179,7 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            released()
 
     return tidied
 

@@ -16,14 +16,15 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import binaries, bounded, fold_bucket, once, portions, with_text
+from tessera.llm.common import binaries, bounded, fold_bucket, once, portions, released, with_text
 
 BUCKETS = 1 << 15
 WORD_PAIRS = 1 << 15
@@ -119,6 +120,31 @@ def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int32), (counts[found] / counts.sum()).astype(np.float32)
 
 
+def packed(ids: np.ndarray, part: np.ndarray) -> bytes:
+    """What ``counted`` gives, in under a third of its bytes: features are in order, and their shares are few."""
+    return zlib.compress(np.diff(ids, prepend=np.int32(0)).astype(np.int32).tobytes() + part.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids, part = np.frombuffer(zlib.decompress(data), np.int32).reshape(2, -1)
+    return np.cumsum(ids, dtype=np.int32), part.view(np.float32)
+
+
+class Packed(Sequence):
+    """Rows to train on (features, shares, label), in order of their ids; each is unpacked when it is read."""
+
+    def __init__(self, rows: list[tuple[int, bytes, int]]):
+        times = Counter(i for i, _, _ in rows)
+        rows = sorted(rows, key=lambda r: (r[0], unpacked(r[1])[0].tobytes() if times[r[0]] > 1 else b""))
+        self.data, self.labels = [d for _, d, _ in rows], [y for _, _, y in rows]
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        return *unpacked(self.data[k]), self.labels[k]
+
+
 class Model:
     """Feature vectors and a softmax read-out."""
 
@@ -130,7 +156,7 @@ class Model:
         return cls(np.zeros((FEATURES, 1), np.float32), np.zeros((1, 2), np.float32), np.zeros(2, np.float32))
 
     @classmethod
-    def trained(cls, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int, rate: float, seed: int = 5) -> Model:
+    def trained(cls, rows: Sequence[tuple[np.ndarray, np.ndarray, int]], epochs: int, rate: float, seed: int = 5) -> Model:
         if not rows:
             return cls.untrained()
         rng = np.random.default_rng(seed)
@@ -212,7 +238,7 @@ def fit(
     """Train on labelled rows whose crc32(doc_id) modulo ``held_out[0]`` is not ``held_out[1]``.
 
     At most ``train_rows`` of them are used: those first by a hash of doc_id, whatever the size of
-    the input. Rows without a label or id are not used; without any row the model says one half.
+    the input. The driver holds them packed, and gives their memory back to the system. Rows without a label or id are not used; without any row the model says one half.
     """
     bounded(docs.sparkSession)
     marks = (
@@ -226,13 +252,15 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text, y in zip(batch.column("doc_id").to_pylist(), binaries(batch.column("text")), batch.column("__y").to_pylist(), strict=True):
-                ids, part = counted(text)
-                yield pa.RecordBatch.from_pydict({"i": [i], "y": pa.array([y], pa.int32()), "ids": [ids.tobytes()], "part": [part.tobytes()]})
-
-    found = rows.mapInArrow(run, "i long, y int, ids binary, part binary").toArrow().sort_by([("i", "ascending"), ("ids", "ascending")])
-    parts = zip(found["ids"], found["part"], found["y"].to_pylist(), strict=True)
-    return Model.trained([(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(p.as_buffer(), np.float32), y) for i, p, y in parts], epochs, rate)
+            data = [packed(*counted(text)) for text in binaries(batch.column("text"))]
+            yield pa.RecordBatch.from_pydict({"i": batch.column("doc_id").cast(pa.int64()), "y": batch.column("__y"), "data": pa.array(data, pa.binary())})
+
+    found = rows.mapInArrow(run, "i long, y int, data binary").toArrow()
+    parts = Packed(list(zip(found["i"].to_pylist(), found["data"].to_pylist(), found["y"].to_pylist(), strict=True)))
+    model = Model.trained(parts, epochs, rate)
+    del found, parts
+    released()
+    return model
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

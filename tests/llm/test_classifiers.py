@@ -48,6 +48,21 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_trains_on_packed_rows(spark, monkeypatch):
+    """The driver holds the training rows in a fraction of their bytes, bit by bit what was counted; repeated ids are in order of their features."""
+    rows = [(r[0], " ".join([r[1]] * 8), r[2], r[3]) for r in corpus(60, 5)]
+    docs, labels = frames(spark, rows + [(2, "one more", 1, 0), (2, "", 1, 0)])
+    seen = []
+    real = quality.Model.trained
+    monkeypatch.setattr(quality.Model, "trained", lambda found, *more: (seen.append(found), real(found, *more))[1])
+    quality.fit(docs, labels, "quality", held_out=(1, 1))
+    (found,) = seen
+    texts = sorted([(r[0], r[1]) for r in rows] + [(2, "one more"), (2, "")], key=lambda t: (t[0], quality.counted(t[1].encode())[0].tobytes()))
+    plain = [quality.counted(t.encode()) for _, t in texts]
+    assert len(found) == 62 and all((a == i).all() and (b == p).all() and a.dtype == i.dtype and b.dtype == p.dtype for (a, b, _), (i, p) in zip(found, plain, strict=True))
+    assert 2 * sum(map(len, found.data)) < sum(i.nbytes + p.nbytes for i, p in plain)
+
+
 def test_toxicity(spark):
     rows = corpus(600, 3)
     docs, labels = frames(spark, rows)
